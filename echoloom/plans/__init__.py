@@ -6,7 +6,7 @@ import importlib
 
 from echoloom.plans.registry import ORACLES, PLANS, Plan
 
-MODULES = ["text"]
+MODULES = ["text", "scoring", "classify"]
 
 
 def all_plans() -> dict[str, Plan]:
