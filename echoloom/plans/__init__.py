@@ -6,7 +6,7 @@ import importlib
 
 from echoloom.plans.registry import ORACLES, PLANS, Plan
 
-MODULES = ["text", "scoring", "classify"]
+MODULES = ["text", "scoring", "classify", "tickets", "analytics", "learning", "health"]
 
 
 def all_plans() -> dict[str, Plan]:

