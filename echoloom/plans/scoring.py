@@ -226,7 +226,7 @@ SCORED = (
     scored AS (SELECT *, least((severity_score * CAST(0.35 AS DOUBLE) + reach_score * CAST(0.25 AS DOUBLE) + recency_score * CAST(0.2 AS DOUBLE)
     + persona_weight * CAST(0.2 AS DOUBLE)) * amp * urgency_boost * revenue, 1.0) AS priority_score FROM parts) """
 )
-_LEVEL_NAME = steps("round(priority_score, 9)", ">=", K.LEVEL_STEPS, "minimal")
+_LEVEL_NAME = steps("priority_score", ">=", K.LEVEL_STEPS, "minimal")
 
 
 def scored_documents(spark, sf):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,8 +19,16 @@ SETTINGS = {
 }
 
 
+def _carry_functions() -> None:
+    """Send the package's task functions with the task, so that executors need no install."""
+    package = sys.modules[__name__.split(".")[0]]
+    if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(package)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the jobs need to an existing session."""
+    _carry_functions()
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -26,6 +36,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def build_session(master: str | None = None, app: str = "echoloom", **extra: str) -> SparkSession:
     """Create a session; `master` is only for local runs, a cluster sets its own."""
+    _carry_functions()
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
