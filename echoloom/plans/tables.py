@@ -45,7 +45,10 @@ _AUTHOR_SQL = "CASE {k} % 5 WHEN 0 THEN 'enterprise_' || {k} WHEN 1 THEN 'pro_'
 
 
 def raw_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    d = spread(read(spark, sf, "documents"))
+    return raw_columns(spread(read(spark, sf, "documents")))
+
+
+def raw_columns(d: DataFrame) -> DataFrame:
     key = F.col("doc_id")
     return d.select(
         key.alias("id"),
