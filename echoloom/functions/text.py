@@ -81,8 +81,8 @@ def _code_point(number: Column) -> Column:
 def _decode_one(entity: Column) -> Column:
     body = F.substring(entity, 2, 40)
     body = F.substring(body, F.lit(1), F.length(body) - 1)
-    hexa = F.conv(F.substring(body, 3, 8), 16, 10).cast("bigint")
-    deci = F.substring(body, 2, 8).cast("bigint")
+    hexa = F.conv(F.substring(body, 3, 8), 16, 10).try_cast("bigint")
+    deci = F.substring(body, 2, 8).try_cast("bigint")
     number = F.when(F.lower(F.substring(body, 1, 2)) == "#x", hexa).when(F.substring(body, 1, 1) == "#", deci)
     valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
     return F.coalesce(F.when(valid, _code_point(number)), F.try_element_at(_entity_map(), body), entity)

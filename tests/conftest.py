@@ -1,12 +1,33 @@
+import sys
+from pathlib import Path
+
 import pytest
 
-from echoloom.session import build_session, ensure_checkpoint_dir
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from echoloom.session import build_session, ensure_checkpoint_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"})
+    session = build_session(
+        "local[8]", "tests",
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
+    )
     session.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(session)
     yield session
     session.stop()
+
+
+@pytest.fixture
+def one(spark):
+    """Evaluate column expressions on one row: one(x=1, …)(expr) → value."""
+    from pyspark.sql import functions as F
+
+    def row(**values):
+        df = spark.range(1).select(*[(v if hasattr(v, "alias") else F.lit(v)).alias(k) for k, v in values.items()])
+        return lambda *exprs: tuple(df.select(*exprs).first()) if len(exprs) > 1 else df.select(exprs[0]).first()[0]
+
+    return row
