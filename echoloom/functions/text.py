@@ -74,8 +74,8 @@ def _entity_map() -> Column:
 
 
 def _code_point(number: Column) -> Column:
-    """Character of a code point: UTF-32 bytes decoded by the JVM."""
-    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32BE")
+    """Character of a code point: big-endian UTF-32 bytes decoded by the JVM."""
+    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
 def _decode_one(entity: Column) -> Column:
