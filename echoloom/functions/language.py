@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echoloom import constants as K
 from echoloom.functions.pii import unicode_pattern
-from echoloom.functions.text import compute_once, text_or_empty
+from echoloom.functions.text import WORD, compute_once, text_or_empty
 
 RESULT = "struct<confidence:double,rank:int,language:string,method:string>"
 
@@ -17,7 +17,7 @@ RESULT = "struct<confidence:double,rank:int,language:string,method:string>"
 def clean_for_detection(col: Column) -> Column:
     """Lower-case words and digits, one space between them, links and e-mails removed."""
     out = text_or_empty(col)
-    out = F.regexp_replace(out, r"(?U)https?://[^\s\x1c-\x1f]+", "")
+    out = F.regexp_replace(out, f"https?://{WORD}", "")
     out = F.regexp_replace(out, unicode_pattern(K.EMAIL), "")
     return F.lower(F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}_]+", " ")))
 
@@ -35,10 +35,16 @@ def _named(names, position: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), position)
 
 
+def spaced_words(cleaned: Column) -> Column:
+    """Words of a text with single blanks between them and none at its ends."""
+    blanks = F.length(cleaned) - F.length(F.replace(cleaned, F.lit(" "), F.lit("")))
+    return F.when(cleaned == "", 0).otherwise(blanks + 1)
+
+
 def word_shares(cleaned: Column) -> Column:
     """array<double>: share of common words, one entry per language."""
     padded = F.concat(F.lit(" "), cleaned, F.lit(" "))
-    total = F.greatest(F.regexp_count(cleaned, F.lit("[^ ]+")), F.lit(1))
+    total = F.greatest(spaced_words(cleaned), F.lit(1))
     patterns = [" (?:" + "|".join(re.escape(w) for w in ws) + ")(?= )" for ws in K.COMMON_WORDS.values()]
     return F.array(*[F.regexp_count(padded, F.lit(p)) / total for p in patterns])
 
@@ -94,7 +100,7 @@ def detect_columns(df, column: str, default: str = "en", prefix: str = "lang"):
     )
     first = lambda part, top: F.array_position(F.col(n(part)), F.col(n(top))).cast("int")
     by_words = F.when(
-        (F.regexp_count(clean, F.lit("[^ ]+")) >= 3) & (F.col(n("wtop")) > 0.1),
+        (spaced_words(clean) >= 3) & (F.col(n("wtop")) > 0.1),
         _result(F.least(n("wtop"), F.lit(1.0)), 3, _named(K.COMMON_WORDS, first("words", "wtop")), "word_frequency"),
     )
     by_vowels = F.when(

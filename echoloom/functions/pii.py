@@ -28,22 +28,24 @@ def scrub_emails(col: Column) -> Column:
     return F.when(col.contains("@"), rebuild(col, unicode_pattern(K.EMAIL), _mask)).otherwise(col)
 
 
-def _replace_all(col: Column, patterns: list[str], tag: str) -> Column:
+def _replace_all(col: Column, patterns: list[str], tag: str, digits: bool = False) -> Column:
+    out = col
     for pattern in patterns:
-        col = F.regexp_replace(col, unicode_pattern(pattern), tag)
-    return col
+        out = F.regexp_replace(out, unicode_pattern(pattern), tag)
+    # texts without any digit skip the digit patterns after one cheap scan
+    return F.when(col.rlike(r"\p{Nd}"), out).otherwise(col) if digits else out
 
 
 def scrub_phones(col: Column) -> Column:
-    return _replace_all(col, K.PHONES, "[PHONE]")
+    return _replace_all(col, K.PHONES, "[PHONE]", digits=True)
 
 
 def scrub_cards(col: Column) -> Column:
-    return _replace_all(col, [K.CARD], "[CREDIT_CARD]")
+    return _replace_all(col, [K.CARD], "[CREDIT_CARD]", digits=True)
 
 
 def scrub_ssns(col: Column) -> Column:
-    return _replace_all(col, [K.SSN], "[SSN]")
+    return _replace_all(col, [K.SSN], "[SSN]", digits=True)
 
 
 def scrub_names(col: Column) -> Column:
@@ -51,7 +53,7 @@ def scrub_names(col: Column) -> Column:
 
 
 def scrub_ips(col: Column) -> Column:
-    return _replace_all(col, [K.IPV4], "[IP_ADDRESS]")
+    return _replace_all(col, [K.IPV4], "[IP_ADDRESS]", digits=True)
 
 
 def scrub_urls(col: Column) -> Column:

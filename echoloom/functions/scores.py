@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echoloom import constants as K
 from echoloom.functions.steps import any_contained, at_least, at_most, compact, first_contained, lookup
-from echoloom.functions.text import text_or_empty, word_count
+from echoloom.functions.text import let, text_or_empty, word_count
 
 
 def severity_score(severity: Column) -> Column:
@@ -56,13 +56,17 @@ def user_segment(author: Column) -> Column:
 
 
 def feedback_quality(body: Column) -> Column:
-    text = F.lower(text_or_empty(body))
-    count = word_count(text)
-    points = F.when(count < 10, -2).when(count > 100, 1).otherwise(0)
-    for word in K.QUALITY_WORDS:
-        points = points + text.contains(word).cast("int")
-    level = F.when(points >= 3, "high").when(points >= 1, "medium").otherwise("low")
-    return F.when(text == "", "low").otherwise(level)
+    """Level by the number of quality words, less 2 under 10 words, plus 1 over 100."""
+
+    def points(text: Column, count: Column) -> Column:
+        total = F.when(count < 10, -2).when(count > 100, 1).otherwise(0)
+        for word in K.QUALITY_WORDS:
+            total = total + text.contains(word).cast("int")
+        return total
+
+    level = lambda p: F.when(p >= 3, "high").when(p >= 1, "medium").otherwise("low")
+    judged = lambda text: let(word_count(text), lambda count: let(points(text, count), level))
+    return let(F.lower(text_or_empty(body)), lambda text: F.when(text == "", "low").otherwise(judged(text)))
 
 
 def cluster_quality(similarity: Column, coherence: Column, diversity: Column) -> Column:
@@ -76,11 +80,14 @@ def amplification(size: Column, quality: Column, min_size: int = 2, factor: floa
 
 
 def urgency_indicators(title: Column, body: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", text_or_empty(title), text_or_empty(body)))
-    words = [F.when(text.contains(w), F.lit(w)) for w in K.URGENCY_WORDS]
-    # "." stays on one line; a line ends at a line feed only
-    patterns = [F.when(text.rlike("(?d)" + p), F.lit("pattern: " + p)) for p in K.URGENCY_PATTERNS]
-    return compact(*words, *patterns)
+
+    def found(text: Column) -> Column:
+        words = [F.when(text.contains(w), F.lit(w)) for w in K.URGENCY_WORDS]
+        # "." stays on one line; a line ends at a line feed only
+        patterns = [F.when(text.rlike("(?d)" + p), F.lit("pattern: " + p)) for p in K.URGENCY_PATTERNS]
+        return compact(*words, *patterns)
+
+    return let(F.lower(F.concat_ws(" ", text_or_empty(title), text_or_empty(body))), found)
 
 
 def urgency_boost(indicators: Column) -> Column:

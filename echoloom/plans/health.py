@@ -12,7 +12,9 @@ from echoloom.plans.registry import plan
 from echoloom.plans.tables import with_tables
 
 _END = "2024-01-15 00:00:00"
-_AS_OF = F.lit(_END).cast("timestamp_ntz")
+def _as_of():
+    return F.lit(_END).cast("timestamp_ntz")
+
 _HOURS = 24
 _NAMES = ", ".join(f"('{a}')" for a in K.AGENTS)
 METRICS = with_tables("executions").rstrip() + f""", recent AS (SELECT * FROM executions WHERE started_at >= TIMESTAMP '{_END}' - INTERVAL {_HOURS} HOUR),
@@ -23,7 +25,7 @@ METRICS = with_tables("executions").rstrip() + f""", recent AS (SELECT * FROM ex
 
 
 def _metrics(spark, sf):
-    return H.agent_metrics(T.executions(spark, sf), _AS_OF, _HOURS)
+    return H.agent_metrics(T.executions(spark, sf), _as_of(), _HOURS)
 
 
 @plan(

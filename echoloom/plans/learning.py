@@ -15,7 +15,9 @@ from echoloom.plans.tables import AS_OF, with_tables
 
 PERIOD = Period("1998-01-01 00:00:00", AS_OF)
 _IN = f"created_at >= TIMESTAMP '{PERIOD.start}' AND created_at < TIMESTAMP '{PERIOD.end}'"
-_AS_OF = F.lit(AS_OF).cast("timestamp_ntz")
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
 
 
 def _outcomes(spark, sf):
@@ -256,7 +258,7 @@ def _(spark, sf):
 
 @plan("g08_metric_retention", f"WITH {_HISTORY} SELECT metric, count(*) AS points FROM history WHERE measured_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY metric")
 def _(spark, sf):
-    return op.retained(_history(spark, sf), _AS_OF).groupBy("metric").agg(F.count("*").alias("points"))
+    return op.retained(_history(spark, sf), _as_of()).groupBy("metric").agg(F.count("*").alias("points"))
 
 
 # --- experiments -----------------------------------------------------------------------
@@ -311,7 +313,7 @@ def _(spark, sf):
         F.concat(F.lit("test_"), F.col("o_orderkey")).alias("test_name"), (F.col("o_orderkey") % 2 == 0).alias("is_active"),
         F.col("o_orderdate").alias("created_at"), (30 + F.col("o_orderkey") % 60).alias("max_duration_days"),
     )
-    return X.due(tests, _AS_OF).select("test_name")
+    return X.due(tests, _as_of()).select("test_name")
 
 
 @plan("j25_stopped_tests", ABTEST + "SELECT test_name, p >= 0.05 AS is_active FROM r")

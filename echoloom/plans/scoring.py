@@ -11,9 +11,11 @@ from echoloom.plans import tables as T
 from echoloom.plans.registry import plan
 from echoloom.plans.tables import AS_OF, with_tables
 
-_AS_OF = F.lit(AS_OF).cast("timestamp_ntz")
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
 # moves exact halves off the rounding edge; both sides add it
-_NUDGE = F.lit(3.14159e-9)
+_NUDGE = 3.14159e-9
 
 
 def case(subject: str, table: dict, otherwise) -> str:
@@ -87,7 +89,7 @@ _RECENCY = steps(f"(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(timestamp)) / 36000
 
 @plan("h40_recency_score", with_tables("docs") + f"SELECT id, {_RECENCY} AS score FROM docs")
 def _(spark, sf):
-    return T.documents(spark, sf).select("id", S.recency_score(F.col("timestamp"), _AS_OF).alias("score"))
+    return T.documents(spark, sf).select("id", S.recency_score(F.col("timestamp"), _as_of()).alias("score"))
 
 
 @plan(
@@ -230,7 +232,7 @@ _LEVEL_NAME = steps("priority_score", ">=", K.LEVEL_STEPS, "minimal")
 
 
 def scored_documents(spark, sf):
-    return scoring.score_documents(T.documents(spark, sf), _stats(spark, sf), _AS_OF)
+    return scoring.score_documents(T.documents(spark, sf, wide=True), _stats(spark, sf), _as_of())
 
 
 @plan(

@@ -12,8 +12,13 @@ from echoloom.plans.tables import with_tables
 from echoloom.sources import canonical as C
 from echoloom.sources import landed as L
 
-_AS_OF = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
-KEY = F.col("doc_id")
+def _as_of():
+    return F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+
+
+
+def _key():
+    return F.col("doc_id")
 
 
 def _lines(df, *fields):
@@ -29,20 +34,20 @@ def _docs(spark, sf):
 
 
 def _issue_lines(spark, sf):
-    name = F.concat(F.lit("user"), _text(KEY % 50))
-    labels = F.when(KEY % 2 == 0, F.array(F.struct(F.lit("bug").alias("name")), F.struct(F.col("lang").alias("name")))).otherwise(
+    name = F.concat(F.lit("user"), _text(_key() % 50))
+    labels = F.when(_key() % 2 == 0, F.array(F.struct(F.lit("bug").alias("name")), F.struct(F.col("lang").alias("name")))).otherwise(
         F.array(F.struct(F.lit("question").alias("name")))
     )
     return _lines(
-        _docs(spark, sf), ("id", KEY), ("number", KEY + 1), ("title", F.substring("text", 1, 60)),
-        ("body", F.when(KEY % 9 != 8, F.col("text"))),
+        _docs(spark, sf), ("id", _key()), ("number", _key() + 1), ("title", F.substring("text", 1, 60)),
+        ("body", F.when(_key() % 9 != 8, F.col("text"))),
         ("user", F.struct(name.alias("login"), F.concat(F.lit("https://git.example/"), name).alias("html_url"))),
-        ("html_url", F.concat(F.lit("https://git.example/i/"), _text(KEY))),
-        ("created_at", F.concat(F.lit("2024-01-"), F.lpad(_text(KEY % 28 + 1), 2, "0"), F.lit("T10:00:00Z"))),
-        ("updated_at", F.concat(F.lit("2024-02-"), F.lpad(_text(KEY % 28 + 1), 2, "0"), F.lit("T10:00:00Z"))),
-        ("labels", labels), ("state", F.when(KEY % 3 == 0, "closed").otherwise("open")), ("comments", (KEY % 7).cast("int")),
+        ("html_url", F.concat(F.lit("https://git.example/i/"), _text(_key()))),
+        ("created_at", F.concat(F.lit("2024-01-"), F.lpad(_text(_key() % 28 + 1), 2, "0"), F.lit("T10:00:00Z"))),
+        ("updated_at", F.concat(F.lit("2024-02-"), F.lpad(_text(_key() % 28 + 1), 2, "0"), F.lit("T10:00:00Z"))),
+        ("labels", labels), ("state", F.when(_key() % 3 == 0, "closed").otherwise("open")), ("comments", (_key() % 7).cast("int")),
         ("assignees", F.array(F.struct(name.alias("login")))),
-        ("pull_request", F.when(KEY % 10 == 9, F.struct(F.lit("x").alias("url")))), ("category", F.col("source")),
+        ("pull_request", F.when(_key() % 10 == 9, F.struct(F.lit("x").alias("url")))), ("category", F.col("source")),
     )
 
 
@@ -81,12 +86,12 @@ def _(spark, sf):
 
 
 def _hn_lines(spark, sf):
-    kind = F.when(KEY % 5 == 0, "story").when(KEY % 5 == 4, "poll").otherwise("comment")
+    kind = F.when(_key() % 5 == 0, "story").when(_key() % 5 == 4, "poll").otherwise("comment")
     return _lines(
-        _docs(spark, sf), ("id", KEY), ("type", kind), ("by", F.when(KEY % 7 != 6, F.concat(F.lit("hn"), _text(KEY % 30)))),
-        ("time", F.lit(1704067200) + KEY * 60), ("title", F.when(kind == "story", F.substring("text", 1, 50))), ("text", F.when(KEY % 4 != 3, F.col("text"))),
-        ("url", F.when(KEY % 3 == 0, F.concat(F.lit("https://blog.example/"), _text(KEY)))), ("score", F.when(KEY % 6 != 5, (KEY % 40).cast("int"))),
-        ("kids", F.when(kind == "story", F.array(KEY + 1, KEY + 2, KEY + 3, KEY + 4))),
+        _docs(spark, sf), ("id", _key()), ("type", kind), ("by", F.when(_key() % 7 != 6, F.concat(F.lit("hn"), _text(_key() % 30)))),
+        ("time", F.lit(1704067200) + _key() * 60), ("title", F.when(kind == "story", F.substring("text", 1, 50))), ("text", F.when(_key() % 4 != 3, F.col("text"))),
+        ("url", F.when(_key() % 3 == 0, F.concat(F.lit("https://blog.example/"), _text(_key())))), ("score", F.when(_key() % 6 != 5, (_key() % 40).cast("int"))),
+        ("kids", F.when(kind == "story", F.array(_key() + 1, _key() + 2, _key() + 3, _key() + 4))),
     )
 
 
@@ -130,13 +135,13 @@ _HOSTS = ["blog.example", "github.com", "old.reddit.com", "news.example", "notgi
 
 
 def _exa(spark, sf):
-    host = F.element_at(F.array(*[F.lit(h) for h in _HOSTS]), (KEY % 5 + 1).cast("int"))
-    date = F.when(KEY % 3 == 0, "2024-03-01T08:30:00.000Z").when(KEY % 3 == 1, "last week").otherwise("2024-03-02T00:00:00+02:00")
+    host = F.element_at(F.array(*[F.lit(h) for h in _HOSTS]), (_key() % 5 + 1).cast("int"))
+    date = F.when(_key() % 3 == 0, "2024-03-01T08:30:00.000Z").when(_key() % 3 == 1, "last week").otherwise("2024-03-02T00:00:00+02:00")
     lines = _lines(
-        _docs(spark, sf), ("id", F.concat(F.lit("exa-"), _text(KEY))), ("title", F.substring("text", 1, 40)), ("url", F.concat(F.lit("https://"), host, F.lit("/p/"), _text(F.floor(KEY / 2)))),
-        ("text", F.col("text")), ("author", F.when(KEY % 2 == 0, F.lit("Ann"))), ("publishedDate", date), ("score", (KEY % 100) / F.lit(100.0)), ("domain", host),
+        _docs(spark, sf), ("id", F.concat(F.lit("exa-"), _text(_key()))), ("title", F.substring("text", 1, 40)), ("url", F.concat(F.lit("https://"), host, F.lit("/p/"), _text(F.floor(_key() / 2)))),
+        ("text", F.col("text")), ("author", F.when(_key() % 2 == 0, F.lit("Ann"))), ("publishedDate", date), ("score", (_key() % 100) / F.lit(100.0)), ("domain", host),
     )
-    return L.exa_results(L.parse_text(lines, "exa"), _AS_OF)
+    return L.exa_results(L.parse_text(lines, "exa"), _as_of())
 
 
 EXA = f"""WITH exa AS (SELECT doc_id, 'exa-' || doc_id AS id, {_HOSTS}[doc_id % 5 + 1] AS host, CASE WHEN doc_id % 2 = 0 THEN 'Ann' ELSE '' END AS author,
@@ -154,11 +159,11 @@ def _(spark, sf):
 
 
 def _tweets(spark, sf):
-    mentions = F.when(KEY % 4 == 0, F.struct(F.array(F.struct(F.col("lang").alias("tag"))).alias("hashtags"), F.array(F.struct(F.lit("acme").alias("username"))).alias("mentions")))
-    refs = F.when(KEY % 5 == 0, F.array(F.struct(F.lit("retweeted").alias("type"), F.lit("1").alias("id")))).when(KEY % 5 == 1, F.array(F.struct(F.lit("replied_to").alias("type"), F.lit("2").alias("id"))))
+    mentions = F.when(_key() % 4 == 0, F.struct(F.array(F.struct(F.col("lang").alias("tag"))).alias("hashtags"), F.array(F.struct(F.lit("acme").alias("username"))).alias("mentions")))
+    refs = F.when(_key() % 5 == 0, F.array(F.struct(F.lit("retweeted").alias("type"), F.lit("1").alias("id")))).when(_key() % 5 == 1, F.array(F.struct(F.lit("replied_to").alias("type"), F.lit("2").alias("id"))))
     lines = _lines(
-        _docs(spark, sf), ("id", _text(KEY)), ("text", F.col("text")), ("author_id", _text(KEY % 40)), ("created_at", F.concat(F.lit("2024-01-"), F.lpad(_text(KEY % 28 + 1), 2, "0"), F.lit("T12:00:00.000Z"))),
-        ("entities", mentions), ("referenced_tweets", refs), ("public_metrics", F.struct((KEY % 9).cast("int").alias("retweet_count"), (KEY % 11).cast("int").alias("like_count"))),
+        _docs(spark, sf), ("id", _text(_key())), ("text", F.col("text")), ("author_id", _text(_key() % 40)), ("created_at", F.concat(F.lit("2024-01-"), F.lpad(_text(_key() % 28 + 1), 2, "0"), F.lit("T12:00:00.000Z"))),
+        ("entities", mentions), ("referenced_tweets", refs), ("public_metrics", F.struct((_key() % 9).cast("int").alias("retweet_count"), (_key() % 11).cast("int").alias("like_count"))),
     )
     k = F.col("n_nationkey")
     users = _lines(
@@ -196,16 +201,16 @@ _TERMS = ["bug", "review", "problem"]
     + ") q(query, term)) SELECT id, query FROM t, q WHERE contains(t, 'acme') AND contains(t, 'tool') AND contains(t, term) UNION ALL SELECT id, '#acmetool' FROM t WHERE contains(t, '#acmetool') UNION ALL SELECT id, '@acmetool' FROM t WHERE contains(t, '@acmetool')",
 )
 def _(spark, sf):
-    tail = F.when(KEY % 3 == 0, "Acme Tool bug").when(KEY % 3 == 1, "#acmetool review").otherwise("nothing")
-    rows = _docs(spark, sf).select(KEY.alias("id"), F.concat_ws(" ", "text", tail).alias("text"))
+    tail = F.when(_key() % 3 == 0, "Acme Tool bug").when(_key() % 3 == 1, "#acmetool review").otherwise("nothing")
+    rows = _docs(spark, sf).select(_key().alias("id"), F.concat_ws(" ", "text", tail).alias("text"))
     return L.product_mentions(rows, ["Acme Tool"], F.col("text"), _TERMS).select("id", "query")
 
 
 def _posts(spark, sf):
     lines = _lines(
-        _docs(spark, sf), ("id", _text(KEY)), ("title", F.substring("text", 1, 70)), ("selftext", F.col("text")), ("author", F.when(KEY % 6 == 5, "[deleted]").otherwise(F.concat(F.lit("r"), _text(KEY % 20)))),
-        ("permalink", F.concat(F.lit("/r/x/"), _text(KEY))), ("subreddit", F.col("source")), ("created_utc", (F.lit(1704067200) + KEY).cast("double")), ("score", (KEY % 50).cast("int")),
-        ("is_self", KEY % 2 == 0), ("url", F.lit("https://link.example")), ("num_comments", (KEY % 12).cast("int")),
+        _docs(spark, sf), ("id", _text(_key())), ("title", F.substring("text", 1, 70)), ("selftext", F.col("text")), ("author", F.when(_key() % 6 == 5, "[deleted]").otherwise(F.concat(F.lit("r"), _text(_key() % 20)))),
+        ("permalink", F.concat(F.lit("/r/x/"), _text(_key()))), ("subreddit", F.col("source")), ("created_utc", (F.lit(1704067200) + _key()).cast("double")), ("score", (_key() % 50).cast("int")),
+        ("is_self", _key() % 2 == 0), ("url", F.lit("https://link.example")), ("num_comments", (_key() % 12).cast("int")),
     )
     return L.reddit_posts(L.parse_text(lines, "reddit_post"))
 
@@ -305,7 +310,7 @@ def _(spark, sf):
     first = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     current = C.with_ids(raw.where("id % 10 <> 1").drop("id"), first)
     incoming = raw.where("id % 4 = 1").withColumn("title", F.concat(F.lit("new "), F.col("id").cast("string"))).drop("id")
-    out = C.upsert(current, incoming, _AS_OF)
+    out = C.upsert(current, incoming, _as_of())
     return out.select("source_type", "source_id", "title", _TIME("updated_at").alias("updated"), _TIME("created_at").alias("created"))
 
 

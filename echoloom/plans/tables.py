@@ -66,9 +66,10 @@ def raw_columns(d: DataFrame) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """processed_documents: classified, partly clustered."""
+def documents(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+    """processed_documents: classified, partly clustered. `wide` is for jobs that work on the texts."""
     o = read(spark, sf, "orders")
+    o = spread(o) if wide else o
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     digit = F.substring("o_orderpriority", 1, 1).cast("int")
     return o.select(

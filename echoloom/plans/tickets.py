@@ -14,7 +14,9 @@ from echoloom.plans.registry import plan
 from echoloom.plans.scoring import case, steps
 from echoloom.plans.tables import AS_OF, PERIOD_START, with_tables
 
-_AS_OF = F.lit(AS_OF).cast("timestamp_ntz")
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
 
 
 def _candidates(spark, sf):
@@ -183,7 +185,7 @@ def _(spark, sf):
     with_tables("tickets") + f"SELECT id, created_at::VARCHAR AS created FROM tickets WHERE list_contains(labels, 'feedback') AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY",
 )
 def _(spark, sf):
-    return op.feedback_tickets(T.tickets(spark, sf), _AS_OF).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
+    return op.feedback_tickets(T.tickets(spark, sf), _as_of()).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
 @plan(
@@ -191,7 +193,7 @@ def _(spark, sf):
     with_tables("tickets") + f"SELECT id FROM tickets WHERE list_contains(labels, 'bug') AND status = 'open' AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 9999 DAY",
 )
 def _(spark, sf):
-    return op.feedback_tickets(T.tickets(spark, sf), _AS_OF, days=9999, label="bug", status="open").select("id")
+    return op.feedback_tickets(T.tickets(spark, sf), _as_of(), days=9999, label="bug", status="open").select("id")
 
 
 # --- listings --------------------------------------------------------------------------
