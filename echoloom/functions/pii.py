@@ -102,8 +102,7 @@ def scrub_columns(df, column: str, prefix: str = "pii", drop_steps: bool = True)
 def pii_types(col: Column) -> Column:
     """Kinds of personal data present in the untouched text."""
     text = text_or_empty(col)
-    hit = lambda patterns: F.lit(False) if not patterns else _any(text, patterns)
-    return F.array_compact(F.array(*[F.when(hit(p), F.lit(name)) for name, _, p, _, _ in _STEPS]))
+    return F.array_compact(F.array(*[F.when(_any(text, p), F.lit(name)) for name, _, p, _, _ in _STEPS]))
 
 
 def _any(text: Column, patterns: list[str]) -> Column:

@@ -173,7 +173,9 @@ def ranking(scores: DataFrame, docs: DataFrame, limit: int = 100) -> DataFrame:
     top = top.withColumn("rank", F.row_number().over(W.orderBy(F.col("priority_score").desc(), "document_id")))
     facts = docs.select(F.col("id").alias("document_id"), "title", "component")
     # `limit` bounds the broadcast side
-    return F.broadcast(top.drop("title", "component")).join(facts, "document_id") if limit <= 10_000 else top.join(facts, "document_id")
+    top = top.drop("title", "component")
+    joined = F.broadcast(top).join(facts, "document_id") if limit <= 10_000 else top.join(facts, "document_id")
+    return joined.orderBy("rank")
 
 
 def level_distribution(scores: DataFrame) -> DataFrame:

@@ -126,9 +126,9 @@ _CL = f"SELECT * FROM clusters WHERE {NOW}"
 @plan(
     "d12_cluster_analysis",
     with_tables("docs", "clusters")
-    + f"""SELECT count(*) AS total_clusters, round(avg(member_count), 6) AS avg_cluster_size, arg_max(title, member_count * 1000000 - id) AS largest,
-    max(member_count) AS largest_size, round(count(*) / sum(member_count) * 100, 6) AS efficiency,
-    (SELECT string_agg(id, ',' ORDER BY member_count DESC, id) FROM (FROM ({_CL}) ORDER BY member_count DESC, id LIMIT 5)) AS top FROM ({_CL})""",
+    + f"""SELECT count(*) AS total_clusters, round(coalesce(avg(member_count), 0), 6) AS avg_cluster_size, arg_max(title, member_count * 1000000 - id) AS largest,
+    max(member_count) AS largest_size, round(coalesce(count(*) / sum(member_count) * 100, 0), 6) AS efficiency,
+    coalesce((SELECT string_agg(id, ',' ORDER BY member_count DESC, id) FROM (FROM ({_CL}) ORDER BY member_count DESC, id LIMIT 5)), '') AS top FROM ({_CL})""",
 )
 def _(spark, sf):
     facts = A.analyze_clusters(T.clusters(spark, sf), PERIOD)
@@ -229,7 +229,6 @@ def _(spark, sf):
     text = lambda k: F.date_format(A.report_start(k, F.col("o_orderdate")), "yyyy-MM-dd HH:mm:ss").alias(k)
     return T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), *[text(k) for k in ("hourly", "daily", "weekly", "monthly")])
 
-_WEEK = """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL)"""
 
 @plan(
     "k03_sliding_week_trend",

@@ -74,10 +74,10 @@ _TA = f"CASE WHEN resolution_time <= 4 THEN {D(1)} WHEN resolution_time <= 24 TH
 
 @plan(
     "j09_performance",
-    OUTCOMES + f"""SELECT {_R(*_PERF)}, n AS total_predictions, ok AS successful_predictions FROM (SELECT *, 2 * precision_score * recall_score / (precision_score + recall_score) AS f1_score,
+    OUTCOMES + f"""SELECT {_R(*_PERF)}, n AS total_predictions, ok AS successful_predictions FROM (SELECT *, coalesce(2 * precision_score * recall_score / nullif(precision_score + recall_score, 0), 0) AS f1_score,
     greatest(0, 1 - mean_absolute_error) * 0.3 + ca * 0.2 + cl * 0.2 + resolution_time_accuracy * 0.15 + user_satisfaction_score * 0.1 + business_impact_score * 0.05 AS accuracy_score
     FROM (SELECT avg(abs(p - a)) AS mean_absolute_error, sqrt(avg((p - a) * (p - a))) AS root_mean_square_error,
-    count(*) FILTER (WHERE p >= 0.7 AND a >= 0.7) / count(*) FILTER (WHERE p >= 0.7) AS precision_score, count(*) FILTER (WHERE p >= 0.7 AND a >= 0.7) / count(*) FILTER (WHERE a >= 0.7) AS recall_score,
+    coalesce(count(*) FILTER (WHERE p >= 0.7 AND a >= 0.7) / nullif(count(*) FILTER (WHERE p >= 0.7), 0), 0) AS precision_score, coalesce(count(*) FILTER (WHERE p >= 0.7 AND a >= 0.7) / nullif(count(*) FILTER (WHERE a >= 0.7), 0), 0) AS recall_score,
     avg({_TA}) AS resolution_time_accuracy, avg(user_satisfaction) AS user_satisfaction_score, avg(business_impact) AS business_impact_score, avg(classification_accuracy) AS ca, avg(clustering_accuracy) AS cl,
     count(*) AS n, count(*) FILTER (WHERE round(abs(p - a), 9) < 0.2) AS ok FROM (SELECT *, predicted_priority AS p, round(actual_priority, 9) AS a FROM outcomes)))""",
 )
@@ -100,9 +100,8 @@ _WEIGHTS = "w AS (SELECT [" + ", ".join(f"'{c}'" for c in K.COMPONENTS) + "][k +
 ADJUST = OUTCOMES.rstrip() + f""", {_WEIGHTS}, per AS (SELECT coalesce(component, 'general') AS component, count(*) AS n, avg(abs(predicted_priority - actual_priority)) AS err,
     avg(predicted_priority - actual_priority) AS bias FROM outcomes GROUP BY 1), p2 AS (SELECT p.*, coalesce(weight, 1) AS old FROM per p LEFT JOIN w USING (component) WHERE n >= 5 AND n / 20.0 >= 0.7 AND (SELECT count(*) FROM outcomes) >= 10),
     p3 AS (SELECT *, greatest({D(.1)}, least({D(2)}, old * (1 + bias * {D(.1)}))) AS nb, greatest({D(.1)}, least({D(2)}, old * (1 - err * {D(.05)}))) AS ne FROM p2),
-    adj AS (SELECT component, old AS old_weight, nb AS new_weight, least(1, n / 20.0) AS confidence, 1 AS step, abs(bias) * err AS impact_score, 'Bias correction: ' || printf('%.3f', bias) AS adjustment_reason FROM p3 WHERE abs(bias) > 0.1 AND abs(nb - old) > 0.005
+    adj AS (SELECT component, old AS old_weight, nb AS new_weight, least(1, n / 20.0) AS confidence, 1 AS step, abs(bias) * err AS impact_score, 'Bias correction: ' || printf('%.3f', bias) AS adjustment_reason FROM p3 WHERE abs(bias) > 0.1 AND abs(nb - old) > 0.05
     UNION ALL SELECT component, old, ne, least(1, n / 20.0), 2, err, 'Error reduction: ' || printf('%.3f', err) FROM p3 WHERE err > 0.3 AND abs(ne - old) > 0.05) """
-ADJUST = ADJUST.replace("> 0.005", "> 0.05")
 
 
 @plan("j10_weight_adjustments", ADJUST + "SELECT component, adjustment_reason, round(old_weight, 6) AS old_weight, round(new_weight, 6) AS new_weight, round(confidence, 6) AS confidence, round(impact_score, 6) AS impact_score FROM adj")

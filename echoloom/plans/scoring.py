@@ -267,7 +267,7 @@ def _(spark, sf):
     "f01_ranking",
     SCORED
     + f"""SELECT row_number() OVER (ORDER BY round(priority_score, 9) DESC, id) AS rank, id AS document_id, title, comp AS component,
-    round(priority_score, 6) AS priority_score, {case(f'({_LEVEL_NAME})', K.PRIORITY_LEVELS, 1)} AS priority_level
+    round(priority_score + 3.14159e-9, 6) AS priority_score, {case(f'({_LEVEL_NAME})', K.PRIORITY_LEVELS, 1)} AS priority_level
     FROM scored ORDER BY round(priority_score, 9) DESC, id LIMIT 100""",
 )
 def _(spark, sf):
@@ -276,7 +276,7 @@ def _(spark, sf):
     out = scoring.ranking(scores, docs)
     return out.select(
         F.col("rank").cast("bigint").alias("rank"), "document_id", "title", "component",
-        F.round("priority_score", 6).alias("priority_score"), "priority_level",
+        F.round(F.col("priority_score") + _NUDGE, 6).alias("priority_score"), "priority_level",
     )
 
 

@@ -390,8 +390,6 @@ def _(spark, sf):
     )
 
 
-_TOTALS_SQL = f"SELECT count(*) AS items, avg(confidence) AS mean FROM ({_DETECT_DOCS_SQL})"
-
 
 @plan(
     "d03_language_stats",
