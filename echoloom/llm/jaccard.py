@@ -16,6 +16,7 @@ sets form a class and are compared once. The join looks for classes with
   spanning forest of its candidates, the likeliest first; where a leaf had more candidates than
   that, a second traversal sends all those whose ends are still in different components. So a
   large group of near copies costs a few pairs per member, and no link between components is lost.
+  A pair that hangs under several roots is sent by the first of them only.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ PREFIX = 32
 LEAF = 4096
 NODE = 16
 MEMO = 400_000
+LINKS_PER_TASK = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -78,8 +80,8 @@ def _band(size: int) -> int:
 
 
 def _width(band: int) -> int:
-    """Bits of the bitmaps of a band: at least two per shingle, a power of two, 128 to 16384."""
-    return int(min(16384, max(128, 1 << int(np.ceil(np.log2(2 * 1.25 ** (band + 1)))))))
+    """Bits of the bitmaps of a band: at least four per shingle, a power of two, 128 to 16384."""
+    return int(min(16384, max(128, 1 << int(np.ceil(np.log2(4 * 1.25 ** (band + 1)))))))
 
 
 def _bitmap(tokens: np.ndarray, width: int) -> bytes:
@@ -204,11 +206,12 @@ def _forest(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> list[int]:
 def _searched(percent: int, full: bool):
     """Traverse each leaf pair of the (sorted) rows; rows of a leaf pair follow each other."""
 
-    def pairs_of(key: tuple, sides: dict[int, list]) -> Iterator[tuple[int, int, bool]]:
-        if not sides.get(0) or (key[2] != key[3] and not sides.get(1)):
+    def pairs_of(key: tuple, sides: dict[int, list], under: dict[int, list[int]]) -> Iterator[tuple[int | None, int | None]]:
+        """Pairs to check; at last (None, None) if the leaf pair had more candidates."""
+        same = key[1] == key[2]
+        if not sides.get(0) or (not same and not sides.get(1)):
             return
         left = _Leaf(sides[0])
-        same = key[2] == key[3]
         right = left if same else _Leaf(sides[1])
         a, b, score = traverse(left, right, same, percent)
         ids_a, ids_b = left.ids[a], right.ids[b]
@@ -217,32 +220,42 @@ def _searched(percent: int, full: bool):
         else:
             chosen = _forest(ids_a, ids_b, score)
         more = not full and len(chosen) < len(a)
+        sets = {}
         for k in chosen:
-            yield min(int(ids_a[k]), int(ids_b[k])), max(int(ids_a[k]), int(ids_b[k])), more
+            a_id, b_id = int(ids_a[k]), int(ids_b[k])
+            for one in (a_id, b_id):
+                if one not in sets:
+                    sets[one] = {r for r in under[one] if r < key[0]}
+            # a root that both hang under and that comes first sends, or has joined, the pair
+            if sets[a_id].isdisjoint(sets[b_id]):
+                yield min(a_id, b_id), max(a_id, b_id)
+        if more:
+            yield None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides, out = None, {}, []
+        key, sides, under, out = None, {}, {}, []
 
         def drained():
             rows = list(out)
             out.clear()
-            cols = list(zip(*[r for r in rows])) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["root", "leaf_a", "leaf_b", "a", "b", "more"])
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["root", "leaf_a", "leaf_b", "a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("root", "leaf_a", "leaf_b", "side", "rid", "n", "sig", "grp")]
-            for root, leaf_a, leaf_b, side, rid, n, sig, grp in zip(*cols):
-                here = (root, None, leaf_a, leaf_b)
+            cols = [batch.column(c).to_pylist() for c in ("root", "leaf_a", "leaf_b", "side", "rid", "n", "sig", "grp", "roots")]
+            for root, leaf_a, leaf_b, side, rid, n, sig, grp, roots in zip(*cols):
+                here = (root, leaf_a, leaf_b)
                 if here != key:
                     if key is not None:
-                        out.extend((key[0], key[2], key[3], *p) for p in pairs_of(key, sides))
-                    key, sides = here, {}
+                        out.extend((*key, *p) for p in pairs_of(key, sides, under))
+                    key, sides, under = here, {}, {}
                 sides.setdefault(side, []).append((rid, n, sig, grp))
+                under[rid] = roots
             if len(out) > 10_000:
                 yield drained()
         if key is not None:
-            out.extend((key[0], key[2], key[3], *p) for p in pairs_of(key, sides))
+            out.extend((*key, *p) for p in pairs_of(key, sides, under))
         yield drained()
 
     return run
@@ -276,10 +289,10 @@ def _leaf_pairs(members: DataFrame) -> DataFrame:
 
 
 def _search(leaf_pairs: DataFrame, classes: DataFrame, percent: int, full: bool) -> DataFrame:
-    rows = leaf_pairs.join(classes.select("rid", "n", "sig", "grp"), "rid")
+    rows = leaf_pairs.join(classes.select("rid", "n", "sig", "grp", "roots"), "rid")
     placed = rows.repartition("root", "leaf_a", "leaf_b").sortWithinPartitions("root", "leaf_a", "leaf_b", "side", "rid")
-    cols = ("root", "leaf_a", "leaf_b", "side", "rid", "n", "sig", "grp")
-    return placed.select(*cols).mapInArrow(_searched(percent, full), "root long, leaf_a int, leaf_b int, a long, b long, more boolean")
+    cols = ("root", "leaf_a", "leaf_b", "side", "rid", "n", "sig", "grp", "roots")
+    return placed.select(*cols).mapInArrow(_searched(percent, full), "root long, leaf_a int, leaf_b int, a long, b long")
 
 
 def _exact(width: int, percent: int):
@@ -301,6 +314,38 @@ def _exact(width: int, percent: int):
     return run
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the links of one task, LINKS_PER_TASK at most or so, by (id, least id reachable by them)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(i) for i in ids], pa.int64())], ["id", "component"])
+
+
+def linked(links: DataFrame) -> DataFrame:
+    """(id, component) of all ends of `links` (a, b; frozen): the least id reachable.
+
+    Each task first turns its links into stars; if it takes several tasks, the stars are joined by
+    rounds over the whole table.
+    """
+    tasks = -(-links.count() // LINKS_PER_TASK)
+    stars = links.coalesce(max(1, tasks)).mapInArrow(_stars, "id long, component long")
+    if tasks <= 1:
+        return frozen(stars)
+    edges = frozen(stars).select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return components(edges, edges.select(F.col("a").alias("id")).distinct())
+
+
 def _keyed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
@@ -334,11 +379,13 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, width: int =
     ).where("count > 1")
     roots = marks.groupBy("count", "m1", "m2").agg(F.min("root").alias("root")).select("root")
     members = frozen(postings.join(roots, "root").select("root", "rid", "band"))
-    leaf_pairs = _leaf_pairs(members)
+    leaf_pairs = frozen(_leaf_pairs(members))
 
-    alone = classes.select("rid", "n", "sig", F.lit(-1).cast("long").alias("grp"))
+    under = members.groupBy("rid").agg(F.collect_list("root").alias("roots"))  # at most PREFIX
+    hung = frozen(classes.select("rid", "n", "sig").join(under, "rid"))
+    alone = hung.withColumn("grp", F.lit(-1).cast("long"))
     first = frozen(_search(leaf_pairs, alone, percent, full=False))
-    tried = first.select("a", "b").distinct()
+    tried = first.where("a is not null").select("a", "b").distinct()
     ends = tried.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     # whole texts of the classes that have a candidate, read once for both rounds
     wanted = ends.join(heads, "rid").select("rid", F.col("first_doc").alias("doc_id"), "key")
@@ -351,16 +398,14 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, width: int =
         return both.select("a", "b", "ta", "tb").mapInArrow(_exact(width, percent), "a long, b long")
 
     links = frozen(checked(tried))
-    nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    grouped = components(links, nodes)
-    dense = first.where("more").select("root", "leaf_a", "leaf_b").distinct()
+    grouped = linked(links)
+    dense = first.where("a is null").select("root", "leaf_a", "leaf_b").distinct()
     if not dense.isEmpty():
-        labelled = classes.join(grouped.withColumnRenamed("id", "rid"), "rid", "left").select("rid", "n", "sig", F.coalesce("component", "rid").alias("grp"))
+        labelled = hung.join(grouped.withColumnRenamed("id", "rid"), "rid", "left").withColumn("grp", F.coalesce("component", "rid"))
         again = _search(leaf_pairs.join(dense, ["root", "leaf_a", "leaf_b"]), labelled, percent, full=True)
-        rest = again.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        rest = again.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         links = frozen(links.unionByName(checked(rest)))
-        nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        grouped = components(links, nodes)
+        grouped = linked(links)
 
     # the class of every row, the component of every class, the smallest doc_id of every component
     named = heads.join(grouped.withColumnRenamed("id", "rid"), "rid", "left").select("key", "first_doc", F.coalesce("component", "rid").alias("root"))
