@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -291,7 +292,7 @@ def decode(encoded: DataFrame, spec: str) -> DataFrame:
     table = encoded.sparkSession.sparkContext.broadcast(pieces(spec))  # the vocabulary: a fixed size
 
     @F.pandas_udf("string")
-    def joined(lists: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
+    def joined(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = table.value
         for series in lists:
             yield series.map(lambda ids: None if ids is None else b"".join(known[int(i)] for i in ids if i is not None and 0 <= i < len(known)).decode("utf-8", "replace"))
