@@ -169,12 +169,12 @@ def analyze_components(docs: DataFrame, scores: DataFrame, tickets: DataFrame, p
 def analyze_clusters(clusters: DataFrame, period: Period, top: int = 5) -> DataFrame:
     """One row: count, mean size, largest, `top` clusters, efficiency in percent."""
     rows = clusters.where(period.holds()).select("id", "title", "member_count", "avg_severity", "component")
-    order = F.struct(F.col("member_count"), -F.col("id"))
+    order = F.struct(-F.col("member_count"), F.col("id"))  # ids of any kind: the largest, of equals the least id
     facts = F.struct("id", "title", F.col("member_count").alias("size"), "avg_severity", "component")
     summary = rows.agg(
         F.count("*").alias("total_clusters"),
         F.coalesce(F.avg("member_count"), F.lit(0.0)).alias("avg_cluster_size"),
-        F.max_by(facts, order).alias("largest_cluster"),
+        F.min_by(facts, order).alias("largest_cluster"),
         F.coalesce(F.count("*") / F.nullif(F.sum("member_count"), F.lit(0)) * 100, F.lit(0.0)).alias("clustering_efficiency"),
     )
     best = rows.orderBy(F.col("member_count").desc(), "id").limit(top)

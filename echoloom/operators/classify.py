@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from echoloom import constants as K
 from echoloom.functions import replies as R
 from echoloom.functions.text import text_or_empty
+from echoloom.operators.ordering import global_rank
 
 
 def unclassified(docs: DataFrame) -> DataFrame:
@@ -34,15 +35,16 @@ def render_prompts(docs: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def render_batches(docs: DataFrame, size: int = 20) -> DataFrame:
-    """Requests for `size` documents each: batch, position in it, and the JSON list of items.
+    """Requests for `size` documents each, in the order of their ids: batch number and the JSON list of items.
 
-    Batches are cut inside hash buckets of bounded size, so no global order is needed.
+    All batches but the last hold exactly `size` documents, whatever the ids look like.
     """
     item = F.struct(
         F.col("id").cast("string").alias("item_id"), "title", F.col("body").alias("content"),
         F.coalesce("author", F.lit("unknown")).alias("author"), F.lit("processed_document").alias("source_type"),
     )
-    keyed = docs.select((F.col("id") - F.pmod(F.col("id"), F.lit(size))).alias("batch_id"), "id", item.alias("item"))
+    ranked = global_rank(docs.select("id", item.alias("item")), ["id"])
+    keyed = ranked.select(F.floor((F.col("rank") - 1) / size).alias("batch_id"), "id", "item")
     return keyed.groupBy("batch_id").agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda x: x["item"])).alias("feedback_items"),
         F.count("*").alias("items"),

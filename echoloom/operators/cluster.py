@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -255,10 +256,10 @@ def dbscan(vectors: DataFrame, eps: float = 0.3, min_samples: int = 2, seed: int
     return out.unionByName(unit.where("zero").select("id", F.lit(NOISE).alias("label")))
 
 
-def kmeans(vectors: DataFrame, k: int = 5, seed: int = 42, tries: int = 10) -> DataFrame:
+def kmeans(vectors: DataFrame, k: int = 5, seed: int = 42, tries: int = 10, max_iter: int = 300) -> DataFrame:
     """(id, label): the best of `tries` starts by cost."""
     data = vectors.select("id", array_to_vector("embedding").alias("features")).persist()
-    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(tries)]
+    models = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data) for i in range(tries)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("id", F.col("prediction").alias("label"))
 
@@ -329,16 +330,23 @@ def clustering_stats(clusters: DataFrame, memberships: DataFrame, docs: DataFram
 
 
 # --- nearest vectors -------------------------------------------------------------------
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, max_queries: int = 10_000) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 10_000) -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar vectors of each query, exact.
 
-    The query set is the bounded side: its size is checked, then sent to every task, which
-    keeps its own k best per query; one small merge follows. The vector table is read once
-    and never shuffled.
+    Queries are sent to the tasks in blocks of about `block`, chosen by a hash of their id. For each
+    block the vector table is read once and never shuffled: every task keeps its own k best
+    per query, and one merge over all blocks follows.
     """
-    found = queries.select("id", "embedding").limit(max_queries + 1).collect()
-    if len(found) > max_queries:
-        raise ValueError(f"more than {max_queries} queries: split them into runs")
+    blocks = max(1, -(-queries.count() // block))
+    mine = [queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for b in range(blocks)]
+    best = reduce(DataFrame.unionByName, [_best_in_tasks(part, vectors, k) for part in mine])
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id"))
+    return best.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def _best_in_tasks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, similarity) of one block of queries: the k best of each task."""
+    found = queries.select("id", "embedding").collect()
     ids = [r["id"] for r in found]
     unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
     q = unit(np.array([r["embedding"] for r in found], dtype=float)) if found else np.zeros((0, 1))
@@ -357,15 +365,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, max_queries: int
             })
 
     qk, vk = queries.schema["id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    best = vectors.select("id", "embedding").mapInPandas(run, f"query_id {qk}, id {vk}, similarity double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k)
+    return vectors.select("id", "embedding").mapInPandas(run, f"query_id {qk}, id {vk}, similarity double")
 
 
-def cell_index(vectors: DataFrame, lists: int = 100, seed: int = 42):
+def cell_index(vectors: DataFrame, lists: int = 100, seed: int = 42, max_iter: int = 20):
     """Inverted cells for approximate search: k-means cells and each vector's cell."""
     data = vectors.select("id", "embedding", array_to_vector(V.normalize(F.col("embedding"))).alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=20).fit(data)
+    model = KMeans(k=lists, seed=seed, maxIter=max_iter).fit(data)
     return model, model.transform(data).select("id", "embedding", F.col("prediction").alias("cell"))
 
 

@@ -28,12 +28,18 @@ def _two_sided_p(z: Column) -> Column:
 
 
 def analyze(exposures: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Two-proportion z test per test over (test_name, arm, success, exposed_at) rows."""
+    """Two-proportion z test per test over (test_name, user, arm, success, exposed_at) rows.
+
+    Users are the units: one counts once for each test, as a success if any exposure was one.
+    """
+    exposures = exposures.groupBy("test_name", "user", "arm").agg(
+        F.bool_or("success").alias("success"), F.min("exposed_at").alias("first"), F.max("exposed_at").alias("last"),
+    )
     treated, success = F.col("arm") == "treatment", F.col("success")
     n = exposures.groupBy("test_name").agg(
         F.count_if(~treated).alias("n0"), F.count_if(treated).alias("n1"),
         F.count_if(~treated & success).alias("s0"), F.count_if(treated & success).alias("s1"),
-        F.datediff(F.max("exposed_at"), F.min("exposed_at")).alias("duration_days"),
+        F.datediff(F.max("last"), F.min("first")).alias("duration_days"),
     ).where((F.col("n0") > 0) & (F.col("n1") > 0))
     n = n.withColumn("control_metric", F.col("s0") / F.col("n0")).withColumn("treatment_metric", F.col("s1") / F.col("n1"))
     n = n.withColumn("effect_size", F.col("treatment_metric") - F.col("control_metric"))

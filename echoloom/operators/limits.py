@@ -109,10 +109,11 @@ def _walk(batches: Iterator[pd.DataFrame], rule, starts: dict[int, list[int]]):
 
 
 def admit(events: DataFrame, key: str, time: str, id_col: str, rule) -> DataFrame:
-    """Events with an `admitted` flag; equal times are taken in id order."""
+    """Events with an `admitted` flag; equal times are taken in id order, events without a time are not admitted."""
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     rows = events.select(F.col(key).cast("string").alias("__key"), micros.alias("__time"), F.col(id_col).alias("__id"))
-    placed = range_sorted(rows, ["__key", "__time", "__id"])
+    untimed = rows.where("__time is null").select(F.col("__id").alias(id_col), F.lit(False).alias("admitted"))
+    placed = range_sorted(rows.where("__time is not null"), ["__key", "__time", "__id"])
 
     def ends(starts: dict[int, list[int]], only: set[int] | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +151,7 @@ def admit(events: DataFrame, key: str, time: str, id_col: str, rule) -> DataFram
             yield pd.DataFrame({"__id": batch["__id"], "admitted": flags})
 
     kind = rows.schema["__id"].dataType.simpleString()
-    return placed.mapInPandas(flag, f"__id {kind}, admitted boolean").withColumnRenamed("__id", id_col)
+    return placed.mapInPandas(flag, f"__id {kind}, admitted boolean").withColumnRenamed("__id", id_col).unionByName(untimed)
 
 
 def recent_requests(events: DataFrame, key: str, time: str, seconds: int = 3600) -> DataFrame:

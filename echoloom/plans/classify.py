@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from echoloom import constants as K
 from echoloom.functions import replies as R
 from echoloom.operators import classify
+from echoloom.operators.ordering import global_rank
 from echoloom.plans import tables as T
 from echoloom.plans.registry import plan
 from echoloom.plans.scoring import case, contained
@@ -168,8 +169,10 @@ _BATCH = 20
 def _(spark, sf):
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
     key = F.col("o_orderkey")
-    placed = T.read(spark, sf, "orders").select(
-        key.alias("id"), F.floor(key / _BATCH).alias("batch_id"), (key % _BATCH).cast("int").alias("pos"), pick(_TYPES, key).alias("feedback_type")
+    ranked = global_rank(T.read(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"])
+    place = F.col("rank") - 1
+    placed = ranked.select(
+        key.alias("id"), F.floor(place / _BATCH).alias("batch_id"), (place % _BATCH).cast("int").alias("pos"), pick(_TYPES, key).alias("feedback_type")
     )
     item = F.struct("pos", F.struct("feedback_type", F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("item_id")).alias("r"))
     replies = placed.groupBy("batch_id").agg(
@@ -181,7 +184,7 @@ def _(spark, sf):
 
 @plan(
     "h34_prompt_batches",
-    with_tables("docs") + f"SELECT id - id % {_BATCH} AS batch_id, count(*) AS items, min(id)::VARCHAR AS first_item FROM docs GROUP BY 1",
+    with_tables("docs") + f"SELECT batch_id, count(*) AS items, min(id)::VARCHAR AS first_item FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // {_BATCH} AS batch_id FROM docs) GROUP BY 1",
 )
 def _(spark, sf):
     out = classify.render_batches(T.documents(spark, sf), _BATCH)

@@ -155,7 +155,7 @@ def _(spark, sf):
 
 @plan("i07_kmeans")
 def _(spark, sf):
-    return C.kmeans(_vectors(spark, sf), tries=3).groupBy("label").agg(F.count("*").alias("members"))
+    return C.kmeans(_vectors(spark, sf)).groupBy("label").agg(F.count("*").alias("members"))
 
 
 @plan(
@@ -185,8 +185,8 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = _vectors(spark, sf)
     queries = C.centroids(T.vectors(spark, sf)).select(F.col("label").alias("id"), F.col("centroid").alias("embedding"))
-    model, cells = C.cell_index(vectors, lists=16)
-    return C.nearest_in_cells(queries, model, cells, k=5, probes=4).select("query_id", "id", "rank")
+    model, cells = C.cell_index(vectors)
+    return C.nearest_in_cells(queries, model, cells, k=5).select("query_id", "id", F.round("similarity", 9).alias("similarity"), "rank")
 
 
 @plan("i14_embed_callback", "SELECT doc_id AS id, CAST(1 AS DOUBLE) AS length FROM documents")

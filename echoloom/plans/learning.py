@@ -268,7 +268,7 @@ _ARM = f"CASE WHEN {_BUCKET} < 50 THEN 'treatment' ELSE 'control' END"
 def _exposures(spark, sf):
     e = T.read(spark, sf, "events")
     return e.select(
-        F.concat(F.lit("test_"), F.col("event_id") % 3).alias("test_name"), X.assign_group("checkout", F.col("user_id")).alias("arm"),
+        F.concat(F.lit("test_"), F.col("event_id") % 3).alias("test_name"), F.col("user_id").alias("user"), X.assign_group("checkout", F.col("user_id")).alias("arm"),
         (F.col("event_type") == "purchase").alias("success"), F.col("ts").alias("exposed_at"),
     )
 
@@ -281,11 +281,11 @@ def _(spark, sf):
 _Z = 1.959963984540054
 _PVAL = f"""(SELECT least(1, greatest(0, (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x))))
     FROM (SELECT z / sqrt({D(2)}) AS x, 1 / (1 + {D(0.3275911)} * z / sqrt({D(2)})) AS t))"""
-ABTEST = f"""WITH x AS (SELECT 'test_' || (event_id % 3) AS test_name, {_ARM} AS arm, event_type = 'purchase' AS success, ts FROM events),
+ABTEST = f"""WITH x AS (SELECT 'test_' || (event_id % 3) AS test_name, {_ARM} AS arm, bool_or(event_type = 'purchase') AS success, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1, user_id),
     g AS (SELECT test_name, CAST(count(*) FILTER (WHERE arm = 'control') AS DOUBLE) AS n0, CAST(count(*) FILTER (WHERE arm = 'treatment') AS DOUBLE) AS n1, count(*) FILTER (WHERE arm = 'control' AND success) AS s0, count(*) FILTER (WHERE arm = 'treatment' AND success) AS s1,
-    date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS duration_days FROM x GROUP BY 1),
-    z AS (SELECT *, s0 / n0 AS c, s1 / n1 AS t1, abs(s1 / n1 - s0 / n0) / sqrt((s0 + s1) / (n0 + n1) * (1 - (s0 + s1) / (n0 + n1)) * (1 / n0 + 1 / n1)) AS z FROM g),
-    r AS (SELECT *, {_PVAL} AS p FROM z)"""
+    date_diff('day', CAST(min(first_ts) AS DATE), CAST(max(last_ts) AS DATE)) AS duration_days FROM x GROUP BY 1),
+    z AS (SELECT *, s0 / n0 AS c, s1 / n1 AS t1, abs(s1 / n1 - s0 / n0) / nullif(sqrt((s0 + s1) / (n0 + n1) * (1 - (s0 + s1) / (n0 + n1)) * (1 / n0 + 1 / n1)), 0) AS z FROM g),
+    r AS (SELECT *, CASE WHEN z IS NULL THEN 1 ELSE {_PVAL} END AS p FROM z)"""
 
 
 @plan(

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoloom.operators.normalize import normalize_documents
@@ -23,6 +22,12 @@ def normalized_stream(raw: DataFrame, lateness: str = "7 days") -> DataFrame:
     return normalize_documents(once.drop("event_time"))
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """True if the store exists; a store that cannot be read is an error of its own, never an empty one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def upsert_batches(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` function that merges raw records into a bucketed parquet store.
 
@@ -39,9 +44,9 @@ def upsert_batches(path: str, buckets: int = 64) -> Callable[[DataFrame, int], N
         touched = [r[0] for r in new.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
         if not touched:
             return
-        try:
+        if stored(spark, path):
             current = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
-        except AnalysisException:  # nothing stored yet
+        else:
             current = C.with_ids(new, as_of).limit(0)
         merged = C.upsert(current, new, as_of).withColumn("bucket", bucket).checkpoint()
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

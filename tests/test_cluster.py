@@ -92,8 +92,9 @@ def test_kmeans_and_nearest(spark):
     assert len({labels[i] for i in range(40)}) == 4 and all(labels[i] == labels[i // 10 * 10] for i in range(40))
     got = C.nearest(df.where("id = 5"), df, 3).orderBy("rank").collect()
     assert got[0]["id"] == 5 and len(got) == 3
-    with pytest.raises(ValueError):
-        C.nearest(df, df, 3, max_queries=10)
+    # several blocks of queries give what one block gives
+    rows_of = lambda block: sorted(map(tuple, C.nearest(df, df, 3, block=block).collect()))
+    assert rows_of(7) == rows_of(1000) and len(rows_of(7)) == 120
 
 
 def test_embedding_hook_and_cache(spark):

@@ -66,8 +66,11 @@ def test_ask_runs_the_model(spark):
 
 
 def test_ab_test(spark):
-    rows = [("t", "control", i < 50, datetime(2024, 1, 1)) for i in range(100)] + [("t", "treatment", i < 80, datetime(2024, 1, 9)) for i in range(100)]
-    r = experiments.analyze(spark.createDataFrame(rows, "test_name string, arm string, success boolean, exposed_at timestamp_ntz")).first()
+    rows = [("t", i, "control", i < 50, datetime(2024, 1, 1)) for i in range(100)] + [("t", 100 + i, "treatment", i < 80, datetime(2024, 1, 9)) for i in range(100)]
+    schema = "test_name string, user int, arm string, success boolean, exposed_at timestamp_ntz"
+    again = [(t, u, a, False, at) for t, u, a, _, at in rows] * 3  # a user with many exposures counts once
+    assert experiments.analyze(spark.createDataFrame(rows + again, schema)).first() == experiments.analyze(spark.createDataFrame(rows, schema)).first()
+    r = experiments.analyze(spark.createDataFrame(rows, schema)).first()
     assert r["is_significant"] and r["recommendation"] == "Implement treatment" and r["duration_days"] == 8 and r["p_value"] == pytest.approx(8.5e-6, rel=0.2)
 
 
@@ -140,3 +143,9 @@ def test_ingest_stream_equals_batch(spark):
     got = runs.run_available(ingest.normalized_stream(stream)).select("raw_feedback_id", "title", "body", "language")
     want = normalize_documents(T.raw_feedback(spark, SF)).select("raw_feedback_id", "title", "body", "language")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_batches_are_full_whatever_the_ids(spark):
+    for ids in ([1000 * i for i in range(45)], [f"id-{i:03d}" for i in range(45)]):
+        docs = spark.createDataFrame([(i, "T", "B", None) for i in ids], f"id {'long' if isinstance(ids[0], int) else 'string'}, title string, body string, author string")
+        assert sorted(r["items"] for r in classify.render_batches(docs, 20).collect()) == [5, 20, 20]

@@ -85,3 +85,9 @@ def test_rank_and_rolling(spark):
     by_id = global_rank(df, ["id"])
     got = {r["rank"]: r["s"] for r in rolling(by_id, 4, "s", F.sum("v"), block=10).collect()}
     assert got == {i + 1: pytest.approx(sum(values[i - 3 : i + 1])) for i in range(3, 500)}
+
+
+def test_events_without_a_time_are_not_admitted(spark):
+    rows = [(1, "a", None), (2, "a", START), (3, None, START)]
+    df = spark.createDataFrame(rows, "id int, key string, ts timestamp_ntz")
+    assert {r["id"]: r["admitted"] for r in L.admit(df, "key", "ts", "id", L.Cooldown(300)).collect()} == {1: False, 2: True, 3: True}
