@@ -48,7 +48,7 @@ def analyze(exposures: DataFrame, confidence: float = 0.95) -> DataFrame:
     spread = lambda p, k: F.col(p) * (1 - F.col(p)) / F.col(k)
     margin = F.lit(NormalDist().inv_cdf(0.5 + confidence / 2)) * F.sqrt(spread("control_metric", "n0") + spread("treatment_metric", "n1"))
     z = F.abs("effect_size") / F.nullif(pooled_error, F.lit(0.0))
-    n = n.withColumn("p_value", F.coalesce(_two_sided_p(z), F.lit(1.0))).withColumn("margin", margin)
+    n = n.withColumn("p_value", F.when(z.isNull(), 1.0).otherwise(_two_sided_p(z))).withColumn("margin", margin)
     n = n.withColumn("is_significant", F.col("p_value") < 1 - confidence)
     win = F.col("is_significant") & (F.col("effect_size") > 0)
     return n.select(
