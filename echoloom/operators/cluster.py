@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -109,16 +109,17 @@ def _blocks(vectors: DataFrame, radius: float, seed: int) -> tuple[DataFrame, Da
     parts = spark.createDataFrame([(c, n) for c, n, _ in layout], "cell int, parts int")
     block = F.concat_ws("_", F.col("cell"), F.pmod(F.xxhash64("id"), F.col("parts")))
     placed = placed.join(F.broadcast(parts), "cell").select("id", "v", "n", block.alias("block"))
-    near_blocks = []
+    near_cells = []  # pairs of at most 1024 cells; their blocks are paired in Spark
     for i, (ci, ni, ri) in enumerate(layout):
         for cj, nj, rj in layout[i:]:
             apart = 0.0 if ci == cj else float(np.linalg.norm(pivots[ci] - pivots[cj]))
-            if apart - ri - rj > radius + 1e-9:
-                continue
-            for x in range(ni):
-                for y in range(x if ci == cj else 0, nj):
-                    near_blocks.append((f"{ci}_{x}", f"{cj}_{y}"))
-    return placed, spark.createDataFrame(near_blocks, "left string, right string")
+            if apart - ri - rj <= radius + 1e-9:
+                near_cells.append((ci, ni, cj, nj))
+    near = spark.createDataFrame(near_cells, "ci int, ni int, cj int, nj int")
+    near = near.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
+    first = F.when(F.col("ci") == F.col("cj"), F.col("x")).otherwise(0)
+    near = near.withColumn("y", F.explode(F.sequence(first, F.col("nj") - 1)))
+    return placed, near.select(F.concat_ws("_", "ci", "x").alias("left"), F.concat_ws("_", "cj", "y").alias("right"))
 
 
 def _tiles(placed: DataFrame, near: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def dbscan(vectors: DataFrame, eps: float = 0.3, min_samples: int = 2, seed: int = 42) -> DataFrame:
-    """(id, label): cosine density clusters named by their least core id, −1 for noise.
+    """(id, label): cosine density clusters named by their least core id, −1 for noise ("-1" if ids are strings).
 
     A row counts itself. A border row joins its least core neighbour's cluster. Zero vectors
     are noise, as no cosine is defined for them.
@@ -252,8 +253,8 @@ def dbscan(vectors: DataFrame, eps: float = 0.3, min_samples: int = 2, seed: int
     border = found.where("NOT both").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("core_id"))
     border = border.join(parts.select(F.col("id").alias("core_id"), "component"), "core_id").select("id", "component")
     labels = parts.unionByName(border).select(F.col("id").alias("lead"), F.col("component").alias("label"))
-    out = members.select("id", "lead").join(labels, "lead", "left").select("id", F.coalesce("label", F.lit(NOISE)).alias("label"))
-    return out.unionByName(unit.where("zero").select("id", F.lit(NOISE).alias("label")))
+    out = members.select("id", "lead").join(labels, "lead", "left").select("id", F.coalesce("label", F.lit(NOISE).cast(kind)).alias("label"))
+    return out.unionByName(unit.where("zero").select("id", F.lit(NOISE).cast(kind).alias("label")))
 
 
 def kmeans(vectors: DataFrame, k: int = 5, seed: int = 42, tries: int = 10, max_iter: int = 300) -> DataFrame:
@@ -265,12 +266,17 @@ def kmeans(vectors: DataFrame, k: int = 5, seed: int = 42, tries: int = 10, max_
 
 
 # --- cluster tables --------------------------------------------------------------------
+def clustered() -> Column:
+    """True for rows with a cluster, whatever the type of their ids."""
+    return F.col("label").cast("string") != str(NOISE)
+
+
 def centroids(labelled: DataFrame) -> DataFrame:
     """(label, centroid, members) from (label, embedding); noise is left out.
 
     Averaged per coordinate, so partial sums combine on the map side.
     """
-    rows = labelled.where(F.col("label") != NOISE).select("label", F.posexplode("embedding").alias("pos", "x"))
+    rows = labelled.where(clustered()).select("label", F.posexplode("embedding").alias("pos", "x"))
     means = rows.groupBy("label", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("members"))
     packed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("c"), F.max("members").alias("members"))
     return packed.select("label", F.transform("c", lambda c: c["x"]).alias("centroid"), "members")
@@ -278,7 +284,7 @@ def centroids(labelled: DataFrame) -> DataFrame:
 
 def build_clusters(docs: DataFrame, labelled: DataFrame, min_size: int = 2, similarity: float = 0.3) -> DataFrame:
     """Cluster rows: title, summary, centroid, size, and the first member's type and part."""
-    rows = labelled.where(F.col("label") != NOISE).join(docs.select("id", "feedback_type", "component", "severity_score"), "id")
+    rows = labelled.where(clustered()).join(docs.select("id", "feedback_type", "component", "severity_score"), "id")
     facts = rows.groupBy("label").agg(
         F.min_by(F.struct("id", "feedback_type", "component", "severity_score"), "id").alias("r"),
         F.avg("severity_score").alias("avg_severity"),

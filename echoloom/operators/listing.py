@@ -94,6 +94,14 @@ def filter_equal(df: DataFrame, **wanted) -> DataFrame:
     return df
 
 
+def list_reports(reports: DataFrame, report_type: str | None = None, number: int = 1, size: int = 20) -> DataFrame:
+    """One page of the reports of a type (or of all), newest first, with the number of all that match."""
+    wanted = filter_equal(reports, report_type=report_type)
+    total = wanted.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+    rows = page(wanted, [F.col("period_end").desc(), F.col("title")], number, size).withColumn("one", F.lit(1))
+    return rows.join(F.broadcast(total), "one").drop("one")  # the total is one row
+
+
 def distinct_keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the first by `order`."""
     rest = [c for c in df.columns if c != key]

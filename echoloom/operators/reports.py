@@ -6,7 +6,7 @@ into columns by one aggregation, so that no two tables are ever multiplied.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoloom.operators import analytics as A
@@ -329,6 +329,12 @@ def save_reports(reports: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("report", "format").text(path)
 
 
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(report, format, content) of saved reports; a report is one file, so its text comes back whole."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("report").cast("string"), F.col("format").cast("string"), F.regexp_replace("value", r"\n\z", "").alias("content"))
+
+
 def expired(reports: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     return reports.where(F.col("created_at") < as_of - F.make_dt_interval(F.lit(days)))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echoloom.operators import analytics as A
+from echoloom.operators import listing as L
 from echoloom.operators import reports as R
 from echoloom.plans import tables as T
 from echoloom.plans.registry import plan
@@ -389,3 +390,58 @@ def _(spark, sf):
 def _(spark, sf):
     reports = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
     return R.expired(reports, F.lit(AS_OF).cast("timestamp_ntz")).select("id")
+
+
+# a report for each month and order status: the table that listings and files need
+_REPORT_TYPES = {"F": "daily", "O": "hourly", "P": "executive"}
+REPORTS = """WITH reports AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'daily' WHEN 'O' THEN 'hourly' ELSE 'executive' END AS report_type,
+    date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS period_end, count(*) AS n FROM orders GROUP BY ALL),
+    texts AS (SELECT *, 'Orders to ' || strftime(period_end, '%Y-%m-%d') AS title, '# Orders' || chr(10) || chr(10) || n || ' items' || chr(10) || 'to ' || strftime(period_end, '%Y-%m-%d') AS content FROM reports) """
+
+
+def _reports(spark, sf):
+    end = F.add_months(F.trunc("o_orderdate", "month"), 1)
+    kind = F.create_map(*[F.lit(x) for pair in _REPORT_TYPES.items() for x in pair])[F.col("o_orderstatus")]
+    counted = T.read(spark, sf, "orders").groupBy(kind.alias("report_type"), end.alias("day")).agg(F.count("*").alias("n"))
+    day = F.date_format("day", "yyyy-MM-dd")
+    return counted.select(
+        "report_type", F.col("day").cast("timestamp_ntz").alias("period_end"), F.concat(F.lit("Orders to "), day).alias("title"),
+        F.concat(F.lit("# Orders\n\n"), F.col("n").cast("string"), F.lit(" items\nto "), day).alias("content"), F.lit("markdown").alias("format"),
+    )
+
+
+@plan(
+    "a21_report_files",
+    REPORTS + "SELECT report_type || '_' || strftime(period_end, '%Y%m%d_%H%M%S') AS report, 'markdown' AS format, content FROM texts",
+)
+def _(spark, sf):
+    import uuid
+
+    from echoloom.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark)}/reports/{uuid.uuid4().hex}"
+    R.save_reports(_reports(spark, sf), path)
+    return R.read_reports(spark, path)
+
+
+@plan(
+    "b19_report_listing",
+    REPORTS + "SELECT report_type, title, content, (SELECT count(*) FROM texts WHERE report_type = 'daily') AS total FROM texts WHERE report_type = 'daily' ORDER BY period_end DESC, title LIMIT 10 OFFSET 10",
+)
+def _(spark, sf):
+    return L.list_reports(_reports(spark, sf), "daily", number=2, size=10).select("report_type", "title", "content", "total")
+
+
+@plan("a18_write_documents", with_tables("docs") + "SELECT id, title, md5(body) AS body_md5, author, source_type, processing_status, language, word_count FROM docs")
+def _(spark, sf):
+    """Documents written by source and read back."""
+    import uuid
+
+    from echoloom.session import ensure_checkpoint_dir
+    from echoloom.sources import canonical
+
+    path = f"{ensure_checkpoint_dir(spark)}/documents/{uuid.uuid4().hex}"
+    docs = T.documents(spark, sf)
+    canonical.append_documents(docs, path)
+    back = spark.read.schema(docs.schema).parquet(path)
+    return back.select("id", "title", F.md5(F.encode("body", "UTF-8")).alias("body_md5"), "author", "source_type", "processing_status", "language", "word_count")

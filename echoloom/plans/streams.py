@@ -19,37 +19,35 @@ def _events(spark, sf):
 def _(spark, sf):
     docs = runs.stream_parquet(spark, sf, "documents.parquet")
     raw = T.raw_columns(docs)
-    out = runs.run_available(ingest.normalized_stream(raw))
+    out = ingest.run_ingest(raw)
     return out.select("raw_feedback_id", "language", F.col("word_count").cast("bigint").alias("word_count"))
 
 
 @plan(
     "k02_daily_counts",
-    """SELECT epoch_us(CAST(ts AS DATE)::TIMESTAMP) AS day_us, event_type, count(*) AS items FROM events
-    WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events) GROUP BY ALL""",
+    "SELECT epoch_us(CAST(ts AS DATE)::TIMESTAMP) AS day_us, event_type, count(*) AS items FROM events GROUP BY ALL",
 )
 def _(spark, sf):
-    out = runs.run_available(digest.period_counts(_events(spark, sf), "ts", "1 day", ("event_type",)))
+    out = digest.run_counts(_events(spark, sf), "ts", "1 day", keys=("event_type",))
     return out.select(F.unix_micros("period_start").alias("day_us"), "event_type", "items")
 
 
 @plan(
     "k02_hourly_counts",
-    """SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, count(*) AS items FROM events
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL""",
+    "SELECT epoch_us(date_trunc('hour', ts)) AS hour_us, count(*) AS items FROM events GROUP BY ALL",
 )
 def _(spark, sf):
-    out = runs.run_available(digest.period_counts(_events(spark, sf), "ts", "1 hour"))
+    out = digest.run_counts(_events(spark, sf), "ts", "1 hour")
     return out.select(F.unix_micros("period_start").alias("hour_us"), "items")
 
 
 @plan(
     "k03_sliding_stream",
     """WITH w AS (SELECT CAST(ts AS DATE) + CAST(i AS INTEGER) AS d, count(*) AS items FROM events, range(1, 8) r(i) GROUP BY 1)
-    SELECT epoch_us(d::TIMESTAMP) AS end_us, items FROM w WHERE d <= (SELECT max(ts) FROM events)""",
+    SELECT epoch_us(d::TIMESTAMP) AS end_us, items FROM w""",
 )
 def _(spark, sf):
-    out = runs.run_available(digest.sliding_counts(_events(spark, sf), "ts"))
+    out = digest.run_counts(_events(spark, sf), "ts", "7 days", "1 day")
     return out.select(F.unix_micros("period_end").alias("end_us"), "items")
 
 

@@ -108,3 +108,12 @@ def test_embedding_hook_and_cache(spark):
     cache = texts.where("id = 4").select(C.cache_key(F.col("text")).alias("text_hash"), F.array(F.lit(1.0)).alias("embedding"))
     assert C.cache_misses(texts, cache).count() == 2
     assert [r["id"] for r in C.cached_embeddings(texts, cache).collect()] == [4]
+
+
+def test_clusters_of_string_ids(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [0.0, 0.0])]
+    whole = spark.createDataFrame(rows, "id long, embedding array<double>")
+    text = whole.withColumn("id", F.concat(F.lit("id-"), "id"))
+    assert {r["id"]: r["label"] for r in C.dbscan(text, 0.3).collect()} == {"id-1": "id-1", "id-2": "id-1", "id-3": "-1", "id-4": "-1"}
+    labelled = C.dbscan(text, 0.3).join(text, "id")
+    assert [(r["label"], r["members"]) for r in C.centroids(labelled).collect()] == [("id-1", 2)]

@@ -140,7 +140,7 @@ def test_ingest_stream_equals_batch(spark):
     from echoloom.streaming import runs
 
     stream = T.raw_columns(runs.stream_parquet(spark, SF, "documents.parquet"))
-    got = runs.run_available(ingest.normalized_stream(stream)).select("raw_feedback_id", "title", "body", "language")
+    got = runs.run_available(ingest.normalized_stream(stream, "7 days")).select("raw_feedback_id", "title", "body", "language")
     want = normalize_documents(T.raw_feedback(spark, SF)).select("raw_feedback_id", "title", "body", "language")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -149,3 +149,20 @@ def test_batches_are_full_whatever_the_ids(spark):
     for ids in ([1000 * i for i in range(45)], [f"id-{i:03d}" for i in range(45)]):
         docs = spark.createDataFrame([(i, "T", "B", None) for i in ids], f"id {'long' if isinstance(ids[0], int) else 'string'}, title string, body string, author string")
         assert sorted(r["items"] for r in classify.render_batches(docs, 20).collect()) == [5, 20, 20]
+
+
+def test_backfill_loses_no_late_rows(spark, tmp_path):
+    from echoloom.streaming import digest, runs
+
+    raw = T.raw_feedback(spark, SF).limit(1).drop("timestamp", "source_id").select("*")
+    days = ["2024-03-01", "2024-03-02", "2024-01-01", "2024-01-02", "2024-03-01"]
+    for number, day in enumerate(days):  # one file a batch, newest first; the last repeats a key
+        one = raw.withColumn("timestamp", F.lit(day + " 10:00:00").cast("timestamp_ntz")).withColumn("source_id", F.lit(day))
+        one.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{number}.parquet"))
+    stream = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    assert ingest.run_ingest(stream, out).count() == 4
+    assert ingest.run_ingest(stream, out).count() == 4
+    counts = digest.run_counts(stream, "timestamp", "1 day")
+    got = {str(r["period_start"])[:10]: r["items"] for r in counts.collect()}
+    assert got == {"2024-03-01": 2, "2024-03-02": 1, "2024-01-01": 1, "2024-01-02": 1}
