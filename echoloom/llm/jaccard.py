@@ -37,7 +37,7 @@ PERCENT = 80
 PREFIX = 32
 LEAF = 4096
 NODE = 16
-MEMO = 400_000
+MEMO = 100_000
 LINKS_PER_TASK = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
