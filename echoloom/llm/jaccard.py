@@ -37,6 +37,7 @@ PERCENT = 80
 PREFIX = 32
 LEAF = 4096
 NODE = 16
+HELD = 500_000
 MEMO = 100_000
 LINKS_PER_TASK = 200_000
 
@@ -146,15 +147,15 @@ class _Leaf:
         return other
 
 
-def traverse(left: _Leaf, right: _Leaf, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row in left, row in right, bound on the similarity) of every pair that may be linked.
+def traverse(left: _Leaf, right: _Leaf, same: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids in left, ids in right, bounds on the similarity) of every pair that may be linked, node by node.
 
     Node pairs are dropped by size range and by the most tokens they can share: those on bits
-    that both ORs hold, and those of a class that share a bit with another of its own.
+    that both ORs hold, and those of a class that share a bit with another of its own. A part holds
+    the pairs of one node of `left`, NODE * LEAF or so at most.
     """
     width = min(left.bits.shape[1], right.bits.shape[1])
     left, right = left.folded(width), left.folded(width) if same else right.folded(width)
-    out_a, out_b, out_s = [], [], []
     for i in range(len(left.starts)):
         first = i if same else 0
         shared = np.bitwise_count(left.either[i] & right.either[first:]).sum(axis=1, dtype=np.int64)
@@ -166,6 +167,7 @@ def traverse(left: _Leaf, right: _Leaf, same: bool, percent: int) -> tuple[np.nd
         if not len(nodes):
             continue
         cols = np.concatenate([np.arange(right.starts[j], right.ends[j]) for j in nodes])
+        out_a, out_b, out_s = [], [], []
         for a in range(left.starts[i], left.ends[i]):
             b = cols[cols > a] if same else cols
             both = np.bitwise_count(left.words[a] & right.words[b]).sum(axis=1, dtype=np.int64)
@@ -176,12 +178,37 @@ def traverse(left: _Leaf, right: _Leaf, same: bool, percent: int) -> tuple[np.nd
             ok &= (left.groups[a] < 0) | (left.groups[a] != right.groups[b])
             b = b[ok]
             if len(b):
-                out_a.append(np.full(len(b), a))
-                out_b.append(b)
+                out_a.append(np.full(len(b), left.ids[a]))
+                out_b.append(right.ids[b])
                 out_s.append(most[ok] / total[ok])
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_s)
+        if out_a:
+            yield np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_s)
+
+
+def _likeliest(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], held: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A spanning forest of all pairs, likeliest first, and whether there were more pairs than it has.
+
+    A pair outside the forest of some pairs is outside the forest of all, so whenever `held` pairs
+    have come together they are cut down to their forest.
+    """
+    kept, count, more = [], 0, False
+
+    def cut() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, score = (np.concatenate(c) for c in zip(*kept))
+        chosen = _forest(a, b, score)
+        return a[chosen], b[chosen], score[chosen]
+
+    for part in parts:
+        kept.append(part)
+        count += len(part[0])
+        if count > held:
+            kept = [cut()]
+            more |= len(kept[0][0]) < count
+            count = len(kept[0][0])
+    if not kept:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    a, b, _ = cut()
+    return a, b, more or len(a) < count
 
 
 def _forest(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> list[int]:
@@ -213,22 +240,19 @@ def _searched(percent: int, full: bool):
             return
         left = _Leaf(sides[0])
         right = left if same else _Leaf(sides[1])
-        a, b, score = traverse(left, right, same, percent)
-        ids_a, ids_b = left.ids[a], right.ids[b]
-        if full:
-            chosen = range(len(a))
-        else:
-            chosen = _forest(ids_a, ids_b, score)
-        more = not full and len(chosen) < len(a)
+        parts, more = traverse(left, right, same, percent), False
+        if not full:
+            forest_a, forest_b, more = _likeliest(parts, HELD)
+            parts = [(forest_a, forest_b)]
         sets = {}
-        for k in chosen:
-            a_id, b_id = int(ids_a[k]), int(ids_b[k])
-            for one in (a_id, b_id):
-                if one not in sets:
-                    sets[one] = {r for r in under[one] if r < key[0]}
-            # a root that both hang under and that comes first sends, or has joined, the pair
-            if sets[a_id].isdisjoint(sets[b_id]):
-                yield min(a_id, b_id), max(a_id, b_id)
+        for part in parts:
+            for a_id, b_id in zip(part[0].tolist(), part[1].tolist()):
+                for one in (a_id, b_id):
+                    if one not in sets:
+                        sets[one] = {r for r in under[one] if r < key[0]}
+                # a root that both hang under and that comes first sends, or has joined, the pair
+                if sets[a_id].isdisjoint(sets[b_id]):
+                    yield min(a_id, b_id), max(a_id, b_id)
         if more:
             yield None, None
 
@@ -242,20 +266,24 @@ def _searched(percent: int, full: bool):
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["root", "leaf_a", "leaf_b", "a", "b"])
 
+        def found():
+            for pair in pairs_of(key, sides, under):
+                out.append((*key, *pair))
+                if len(out) >= 10_000:
+                    yield drained()
+
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("root", "leaf_a", "leaf_b", "side", "rid", "n", "sig", "grp", "roots")]
             for root, leaf_a, leaf_b, side, rid, n, sig, grp, roots in zip(*cols):
                 here = (root, leaf_a, leaf_b)
                 if here != key:
                     if key is not None:
-                        out.extend((*key, *p) for p in pairs_of(key, sides, under))
+                        yield from found()
                     key, sides, under = here, {}, {}
                 sides.setdefault(side, []).append((rid, n, sig, grp))
                 under[rid] = roots
-            if len(out) > 10_000:
-                yield drained()
         if key is not None:
-            out.extend((*key, *p) for p in pairs_of(key, sides, under))
+            yield from found()
         yield drained()
 
     return run

@@ -62,6 +62,7 @@ def test_jaccard_groups(docs, monkeypatch):
     assert got() == want
     monkeypatch.setattr(jaccard, "LEAF", 8)  # roots of many leaves
     monkeypatch.setattr(jaccard, "LINKS_PER_TASK", 20)
+    monkeypatch.setattr(jaccard, "HELD", 5)  # forests cut down many times
     assert got() == want
 
 
