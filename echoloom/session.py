@@ -15,7 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",  # whole texts: bounds what a Python worker holds
+    # whole texts, some of them long: bounds what a Python worker holds
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
