@@ -32,6 +32,8 @@ BLOCK = 4096
 QUERIES = 2048
 COLUMNS = 16
 EPSILON = 2.1
+#: Share of the squared lengths by which two rotations of one vector may differ.
+ROUNDING = 1e-9
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def _closest(data: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def scan_block(queries: np.ndarray, own_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query number, ids, distances) of each query's best candidates in one block, `k` at most."""
     turned, asked = vectors @ rotation, queries @ rotation
-    size = vectors.shape[1]
+    size, weight = vectors.shape[1], (queries**2).sum(axis=1)
     for number in range(len(queries)):
         alive = np.nonzero(ids != own_ids[number])[0]
         if not len(alive):
@@ -103,7 +105,7 @@ def scan_block(queries: np.ndarray, own_ids: np.ndarray, vectors: np.ndarray, id
             done = min(start + COLUMNS, size)
             partial += ((turned[alive, start:done] - asked[number, start:done]) ** 2).sum(axis=1)
             if done < size:
-                keep = partial <= bound * (done / size) * (1 + EPSILON / np.sqrt(done)) ** 2
+                keep = partial <= bound * (done / size) * (1 + EPSILON / np.sqrt(done)) ** 2 + ROUNDING * (weight[number] + bound)
                 alive, partial = alive[keep], partial[keep]
                 if len(alive) > 2 * k and done < size // 2:
                     # survivors that look nearest tighten the bound

@@ -131,6 +131,16 @@ def test_adaptive_scan_keeps_the_nearest():
     assert hits >= 390
 
 
+@pytest.mark.parametrize("asked", [1, 2, 3])
+def test_scan_keeps_exact_copies(asked):
+    rng = np.random.default_rng(4)
+    turn, points = np.linalg.qr(rng.normal(size=(64, 64)))[0], rng.normal(size=(asked, 64))
+    data = np.concatenate([np.repeat(points, 50, axis=0), rng.normal(size=(200, 64))])
+    found = {n: (ids, far) for n, ids, far in nearest.scan_block(points, -np.arange(1, asked + 1), data, np.arange(len(data)), turn, 10)}
+    for n in range(asked):
+        assert found[n][0].tolist() == list(range(50 * n, 50 * n + 10)) and not found[n][1].any()
+
+
 def planted_secrets(text):
     return {hashlib.sha256(next(g for g in m.groups() if g).encode()).hexdigest() for m in re.finditer(r'(AKIA[A-Z0-9]{16})|password=([0-9a-f]{18})|token = "([0-9a-f]{40})"', text or "")}
 
