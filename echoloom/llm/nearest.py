@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by an adaptive dimension scan.
 
 Vectors are dealt to lists by their nearest centroid and rotated by one random orthogonal matrix,
-so that the first dimensions tell a fair part of any distance. A query goes to its nearest lists. In
+so that the first dimensions tell a fair part of any distance. A query goes to its nearest lists; how
+many, a sample of the queries tells, whose true neighbours are found by brute force. In
 a list the vectors are scanned in blocks of columns: after each block a hypothesis test compares the
 partial distance with the distance of the tenth neighbour so far, and candidates that are very
 unlikely to beat it are abandoned. Survivors are measured exactly on the original vectors.
@@ -28,6 +29,9 @@ LIST_SIZE = 400
 MAX_LISTS = 1024
 SAMPLE_ROWS = 32_768
 PROBE_FACTOR = 4
+#: Share of the true neighbours of MEASURED queries that must lie in the lists a query goes to.
+RECALL = 0.95
+MEASURED = 256
 BLOCK = 4096
 QUERIES = 2048
 COLUMNS = 16
@@ -116,13 +120,59 @@ def scan_block(queries: np.ndarray, own_ids: np.ndarray, vectors: np.ndarray, id
         yield number, ids[alive][order], exact[order]
 
 
+def probes_for(placed: DataFrame, is_query: Column, index: Index, k: int, recall: float = RECALL, queries: int = MEASURED) -> int:
+    """How many of its nearest lists a query needs until they hold `recall` of the true neighbours.
+
+    Measured by brute force over the whole table for at most `queries` of the queries, chosen by a hash
+    of their id; never less than the probes of the index. placed has vec_id, embedding and list.
+    """
+    lists = len(index.centroids)
+    if index.probes >= lists:
+        return lists
+    some = placed.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(queries).select("vec_id", "embedding").collect()
+    if not some:
+        return index.probes
+    asked, ids = np.array([r["embedding"] for r in some]), np.array([r["vec_id"] for r in some])
+    shared = placed.sparkSession.sparkContext.broadcast((asked, ids))
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = shared.value
+        far, near, home = np.full((len(own), k), np.inf), np.full((len(own), k), -1), np.full((len(own), k), -1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, names = np.stack(batch.column("embedding").to_numpy(zero_copy_only=False)), batch.column("vec_id").to_numpy()
+            new = (data**2).sum(axis=1) - 2 * known @ data.T
+            new[names == own[:, None]] = np.inf
+            far = np.hstack([far, new])
+            near = np.hstack([near, np.broadcast_to(names, new.shape)])
+            home = np.hstack([home, np.broadcast_to(batch.column("list").to_numpy(), new.shape)])
+            best = np.argpartition(far, k - 1, axis=1)[:, :k]
+            far, near, home = (np.take_along_axis(x, best, axis=1) for x in (far, near, home))
+        query, place = np.nonzero(np.isfinite(far))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query.astype(np.int32)), pa.array(near[query, place].astype(np.int64)), pa.array(far[query, place]), pa.array(home[query, place].astype(np.int32))],
+            ["query", "vec_id", "far", "list"],
+        )
+
+    rows = placed.select("vec_id", "embedding", "list").mapInArrow(closest, "query int, vec_id long, far double, list int")
+    place = F.row_number().over(W.partitionBy("query").orderBy("far", "vec_id"))
+    truth = rows.withColumn("place", place).where(F.col("place") <= k).select("query", "list").collect()  # at most `queries` times k rows
+    if not truth:
+        return index.probes
+    order = np.argsort((index.centroids**2).sum(axis=1) - 2 * asked @ index.centroids.T, axis=1, kind="stable")
+    ranks = np.argsort(order, axis=1)  # place of each list in a query's order
+    needed = np.sort([ranks[r["query"], r["list"]] + 1 for r in truth])
+    return max(index.probes, int(needed[int(np.ceil(recall * len(needed))) - 1]))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, index: Index | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which `is_query` holds, its `k` nearest others.
 
     score is the Euclidean distance in double precision on the original vectors; ties go to the
-    smaller vec_id. All vectors are searched, by the lists nearest to the query. A query whose
-    lists hold fewer than `k` others is compared with everything. See `usable` for the vectors that
-    take no part.
+    smaller vec_id. All vectors are searched, by the lists nearest to the query, as many as `probes_for`
+    finds necessary. A query whose lists hold fewer than `k` others goes to more. See `usable` for the
+    vectors that take no part.
     """
     rows = frozen(usable(vectors, id_col, vector_col))
     index = index or fit(rows)
@@ -142,6 +192,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, index: Index | No
     placed = frozen(rows.mapInArrow(assign, "vec_id long, embedding array<double>, list int"))
     sizes = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most MAX_LISTS rows
     held = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
+    probes = probes_for(placed, is_query, index, k)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -155,7 +206,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, index: Index | No
             for row in order:
                 # the nearest lists, and more if those hold too few vectors
                 enough = int(np.searchsorted(np.cumsum(held[row]), k + 1)) + 1
-                lists.append(row[: max(known.probes, enough)].tolist())
+                lists.append(row[: max(probes, enough)].tolist())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "query", "lists"])
 
     asked = placed.where(is_query).select("vec_id", "embedding").mapInArrow(probe, "query_id long, query array<double>, lists array<int>")

@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from oracle_check import compare, connect
 from pyspark.sql import functions as F
@@ -112,6 +114,24 @@ def test_nearest_recall(spark, tables):
     assert hits / total >= 0.9
 
 
+def test_nearest_recall_with_many_lists(spark, tmp_path):
+    """80,000 directions without clusters, so that a query's neighbours are spread over 200 lists."""
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(80_000, 64))
+    data /= np.sqrt((data**2).sum(axis=1))[:, None]
+    path = str(tmp_path / "embeddings.parquet")
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(data.ravel()), 64).cast(pa.list_(pa.float64()))
+    pq.write_table(pa.table({"vec_id": np.arange(80_000), "embedding": flat}), path, row_group_size=10_000)
+    got = {}
+    for r in nearest.nearest(spark.read.parquet(path), F.col("vec_id") % 200 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    far = -data[::200] @ data.T
+    far[np.arange(400), np.arange(0, 80_000, 200)] = np.inf
+    hits = [len(set(np.argpartition(row, 10)[:10]) & got[200 * i]) for i, row in enumerate(far)]
+    print(f"recall {np.mean(hits) / 10}")
+    assert np.mean(hits) / 10 >= 0.9
+
+
 def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (100, [1.0, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
