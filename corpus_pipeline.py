@@ -24,9 +24,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines out of the texts, site by site; n_chars follows the text."""
+    """Takes boilerplate lines out of the texts, site by site, long ones from few pages on; n_chars follows the text."""
     tune(spark)
-    out = line_dedup.drop_boilerplate(docs, "source", "text")
+    out = line_dedup.drop_boilerplate(docs, "source", "text", steps=line_dedup.STEPS)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -7,6 +7,10 @@ side, so a host with a third of all pages is spread by its lines. A line can be
 if it is on a fixed share of the pages, so a host has at most (lines per page / ratio) such lines.
 The few boilerplate lines go to the pages as one list per host, by a broadcast whose size is
 checked, else by a join on the host whose large partitions adaptive execution splits.
+
+With `steps` the ratio falls with the number of words of a line. Lines of a step without a ratio are
+boilerplate from `min_pages` pages on; a host may have any number of them, so they go to the
+pages that hold them as one list per page.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from echoloom.llm.common import frozen, spare
 
 RATIO = 0.05
 MIN_PAGES = 3
+#: (least words, ratio) of lines. On sf0.1 (500 pages a host) 146 pairs of host and line under ten words lie above, 50 under fifty, 21 of fifty or more.
+STEPS = ((0, 0.02), (10, 0.01), (50, 0.0))
 BROADCAST_LINES = 100_000
 
 
@@ -32,38 +38,70 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(plain).alias("h"), F.length(plain).alias("n"))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, h, n, pages, share) of lines on more than `ratio` of their host's pages.
+def _words(line: Column) -> Column:
+    return F.size(F.split(F.trim(line), r"\s+"))
+
 
-    Every page counts a line once; blank lines never count; a NULL host is a host of its own;
-    a line must be on `min_pages` pages at least. NULL texts count as pages without lines.
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, steps: tuple[tuple[int, float], ...] = ()) -> DataFrame:
+    """(host, h, n, pages, share, limit) of lines on more than `limit` of their host's pages.
+
+    limit is `ratio`, or that of the last of `steps` whose words the line has. Every page counts a line
+    once; blank lines never count; a NULL host is a host of its own; a line must be on `min_pages`
+    pages at least. NULL texts count as pages without lines.
     """
+    def keyed(line: Column) -> Column:
+        limit = F.lit(float(ratio))
+        for least, lower in sorted(steps):
+            limit = F.when(_words(line) >= least, F.lit(float(lower))).otherwise(limit)
+        return F.struct(line_key(line).alias("k"), limit.alias("limit"))
+
     rows = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
     totals = rows.groupBy("host").agg(F.count("*").alias("total"))
-    keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: F.trim(x) != ""), line_key))
-    seen = rows.select("host", F.explode(keys).alias("k")).groupBy("host", F.col("k.h").alias("h"), F.col("k.n").alias("n"))
+    keys = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: F.trim(x) != ""), keyed))
+    seen = rows.select("host", F.explode(keys).alias("l")).groupBy("host", F.col("l.k.h").alias("h"), F.col("l.k.n").alias("n"), F.col("l.limit").alias("limit"))
     often = seen.agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     joined = often.join(totals.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host")))
-    out = joined.withColumn("share", F.col("pages") / F.col("total")).where(F.col("share") > ratio)
-    return out.select("host", "h", "n", "pages", "share")
+    out = joined.withColumn("share", F.col("pages") / F.col("total")).where(F.col("share") > F.col("limit"))
+    return out.select("host", "h", "n", "pages", "share", "limit")
+
+
+def _page_lists(pages: DataFrame, host: str, text: str, found: DataFrame, least: int) -> DataFrame:
+    """(host, h, n, lines): for each text of a host, by its key, the lines of `found` it holds."""
+    long_ones = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: _words(x) >= least), line_key))
+    rows = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
+    held = rows.select("host", line_key(F.col("text")).alias("page"), F.explode(long_ones).alias("line"))
+    bad = found.select(F.col("host").alias("__host"), F.struct("h", "n").alias("__line"))
+    met = held.join(bad, F.col("host").eqNullSafe(F.col("__host")) & (F.col("line") == F.col("__line")))
+    return met.groupBy("host", F.col("page.h").alias("h"), F.col("page.n").alias("n")).agg(F.collect_set("line").alias("lines"))
 
 
 def drop_boilerplate(
     pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    broadcast_lines: int = BROADCAST_LINES, dropped: str | None = None,
+    broadcast_lines: int = BROADCAST_LINES, dropped: str | None = None, steps: tuple[tuple[int, float], ...] = (),
 ) -> DataFrame:
     """`pages` with boilerplate lines taken out of `text`; rows, order of lines and other columns stay.
 
     A page that had nothing but boilerplate keeps its row with an empty text; a NULL text stays
     NULL; repeated rows are pages of their own. With `dropped`, a column of that name counts the
-    lines taken out.
+    lines taken out. For `steps` see `boilerplate`.
     """
-    found = frozen(boilerplate(pages, host, text, ratio, min_pages))
+    found = frozen(boilerplate(pages, host, text, ratio, min_pages, steps))
     bad, key, number = spare(pages, "bad_lines"), spare(pages, "bad_host"), dropped or spare(pages, "dropped_lines")
-    lists = found.groupBy("host").agg(F.collect_set(F.struct("h", "n")).alias(bad)).withColumnRenamed("host", key)
-    if found.count() <= broadcast_lines:
+    shared = found.where(F.col("limit") > 0) if steps else found
+    lists = shared.groupBy("host").agg(F.collect_set(F.struct("h", "n")).alias(bad)).withColumnRenamed("host", key)
+    if shared.count() <= broadcast_lines:
         lists = F.broadcast(lists)
     joined = pages.join(lists, F.col(host).eqNullSafe(F.col(key)), "left")
+    free = [least for least, lower in steps if lower <= 0]
+    if free:
+        more, own, page = spare(pages, "page_lines"), spare(pages, "page_host"), spare(pages, "page_key")
+        held = frozen(_page_lists(pages, host, text, found.where(F.col("limit") <= 0), min(free)))
+        lists = held.select(F.col("host").alias(own), F.struct("h", "n").alias(page), F.col("lines").alias(more))
+        if held.count() <= broadcast_lines:
+            lists = F.broadcast(lists)
+        joined = joined.join(lists, F.col(host).eqNullSafe(F.col(own)) & (line_key(F.col(text)) == F.col(page)), "left").drop(own, page)
+        both = F.concat(*(F.coalesce(F.col(c), F.array().cast(joined.schema[more].dataType)) for c in (bad, more)))
+        joined = joined.withColumn(bad, F.when(F.col(bad).isNotNull() | F.col(more).isNotNull(), both)).drop(more)
     kept = F.filter(lines_of(F.col(text)), lambda x: ~F.array_contains(F.col(bad), line_key(x)))
     changed = F.when(F.col(bad).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     count = F.when(F.col(bad).isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col(text))) - F.size(kept))

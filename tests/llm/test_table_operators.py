@@ -209,6 +209,21 @@ def test_line_dedup(spark, docs):
     assert line_dedup.drop_boilerplate(table.where("false")).count() == 0
 
 
+def test_line_ratio_falls_with_length(spark, docs):
+    passage, middle, name = " ".join(f"p{i}" for i in range(60)), " ".join(f"m{i}" for i in range(12)), "short line"
+    texts = [[f"own {i}"] for i in range(500)]
+    for line, pages in ((passage, 3), (middle, 8), (name, 15), ("rare line", 8), (passage + " two", 2)):
+        for i in range(pages):
+            texts[i].append(f" {line} ")
+    rows = [(i, "\n".join(t), None, None if i < 250 else "a") for i, t in enumerate(texts)] + [(600 + i, f"x {i}\n{passage}", None, "b") for i in range(500)]
+    table = docs([(i, t, lang, "a" if host is None else host) for i, t, lang, host in rows] + [(2000 + i, passage if i < 2 else None, None, None) for i in range(4)] + [(2, rows[2][1], None, "a")])
+    want = {i: "\n".join(x for x in t if x.strip() not in (passage, middle, name)) for i, t in enumerate(texts)} | {600 + i: f"x {i}" for i in range(500)} | {2000: passage, 2001: passage, 2002: None, 2003: None}
+    for limit in (0, 100_000):
+        out = line_dedup.drop_boilerplate(table.withColumn("page_lines", F.lit("clash")), broadcast_lines=limit, steps=line_dedup.STEPS)
+        assert out.columns == [*table.columns, "page_lines"] and sorted((r["doc_id"], repr(r["text"])) for r in out.collect()) == sorted([(i, repr(t)) for i, t in want.items()] + [(2, repr(want[2]))])
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.without_boilerplate(spark, table, SF).collect()} == want
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain version of itself, on its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
