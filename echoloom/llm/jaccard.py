@@ -67,7 +67,7 @@ def shingles(text: str | None, memo: dict, width: int = WORDS) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     hashes = np.array([memo[w] for w in words], dtype=np.uint64)
-    if len(hashes) <= width:
+    if len(hashes) < width:
         return np.array([xxhash.xxh3_64_intdigest(hashes.tobytes())], dtype=np.uint64)
     count = len(hashes) - width + 1
     total = np.zeros(count, np.uint64)

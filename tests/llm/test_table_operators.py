@@ -68,6 +68,13 @@ def test_jaccard_groups(docs, monkeypatch):
     assert got() == want
 
 
+def test_jaccard_five_equal_words(docs):
+    rows = [(1, "ha ha ha ha ha"), (2, "Ha " * 6), (3, "ha " * 900), (4, "ha ha ha ha"), (5, "a b c d e"), (6, "a b c d e f"), (7, "a b c d e")]
+    table = docs(rows)
+    assert sorted((tuple(r) for r in jaccard.near_duplicate_groups(table).collect()), key=repr) == brute_groups(rows)
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(table).collect()) == [1, 4, 5, 6]
+
+
 def test_jaccard_query_and_empty(spark, tables):
     rows = tables("documents")
     assert sorted((tuple(r) for r in queries.op7_jaccard(spark, SF).collect()), key=repr) == brute_groups(list(zip(rows.doc_id.tolist(), rows.text)))
