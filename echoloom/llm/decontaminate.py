@@ -4,7 +4,8 @@ Texts and benchmark items become templates: numbers, names (capitalised words in
 and units turn into typed placeholders, other words lose case and punctuation. Windows of template
 words are hashed and joined; an item counts as leaked into a text when enough of its windows are
 there and its slots are consistent, i.e. every value of the item is replaced by one and the same
-value throughout. Equal values make an exact leak, others a re-parameterised question.
+value throughout one alignment of item and text, a run of neighbouring alignments, or the first
+places of all windows. Equal values make an exact leak, others a re-parameterised question.
 
 Only DataFrame functions are used. Every text is read once and never shuffled: the benchmark is the
 stated query set, sent to the tasks in blocks of at most BLOCK windows, one pass of the
@@ -64,6 +65,39 @@ def windows(words: Column, size: int = WINDOW) -> Column:
     return let(words, runs)
 
 
+def _matched(hits: Column) -> Column:
+    """The item's windows found and the pairs of their slots."""
+    pairs = F.array_distinct(F.flatten(F.transform(hits, lambda h: h["pairs"])))
+    return F.struct(F.transform(hits, lambda h: h["at"]).alias("ats"), pairs.alias("pairs"))
+
+
+def _consistent(match: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(match["pairs"], lambda p: p["item"]))) == F.size(match["pairs"])
+
+
+def _same(match: Column) -> Column:
+    return F.forall(match["pairs"], lambda p: p["item"] == p["doc"])
+
+
+def _runs(sets: Column) -> Column:
+    """Neighbouring alignments put together as long as their slots agree: copies with words put in or left out."""
+    def add(runs: Column, one: Column) -> Column:
+        last = F.element_at(runs, -1)
+        both = F.struct(F.array_union(last["ats"], one["ats"]).alias("ats"), F.array_union(last["pairs"], one["pairs"]).alias("pairs"))
+        longer = let(both, lambda b: F.when(_consistent(b), F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(b))).otherwise(F.concat(runs, F.array(one))))
+        return F.when(F.size(runs) == 0, F.array(one)).otherwise(longer)
+
+    return F.aggregate(sets, F.slice(sets, 1, 0), add)
+
+
+def _firsts(copies: Column) -> Column:
+    """Every window's first place in the text."""
+    def add(hits: Column, one: Column) -> Column:
+        return F.concat(hits, F.filter(one["hits"], lambda h: ~F.exists(hits, lambda x: x["at"] == h["at"])))
+
+    return F.aggregate(copies, F.slice(F.element_at(copies, 1)["hits"], 1, 0), add)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, kind, coverage, windows, slots) of every leaked item of every text.
 
@@ -102,15 +136,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, si
         return hits.select("doc_id", "item_id", "total", "at", F.col("pos"), pairs.alias("pairs"))
 
     found = reduce(DataFrame.unionByName, [met(i) for i in range(blocks)])
-    # an item's window may be in a text many times: the first place stands for all
-    first = found.groupBy("doc_id", "item_id", "total", "at").agg(F.min(F.struct("pos", "pairs")).alias("m"))
-    leaks = first.groupBy("doc_id", "item_id", "total").agg(F.count("*").alias("windows"), F.array_distinct(F.flatten(F.collect_list("m.pairs"))).alias("pairs"))
-    leaks = leaks.where(F.col("windows") >= F.col("total") * coverage)
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
-    kind = F.when(F.forall("pairs", lambda p: p["item"] == p["doc"]), "exact").otherwise("reparameterised")
-    slots = F.array_sort(F.transform("pairs", lambda p: F.concat(p["item"], F.lit("="), p["doc"])))
-    return leaks.where(consistent).select(
-        "doc_id", "item_id", kind.alias("kind"), (F.col("windows") / F.col("total")).alias("coverage"), "windows", slots.alias("slots"),
+    # windows of one alignment (place in the text less place in the item) are one copy of the item
+    shifts = found.groupBy("doc_id", "item_id", "total", (F.col("pos") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("at", "pairs"))).alias("hits"))
+    copies = shifts.groupBy("doc_id", "item_id", "total").agg(F.sort_array(F.collect_list(F.struct("shift", "hits"))).alias("copies"))
+    copies = copies.withColumn("sets", F.transform("copies", lambda c: _matched(c["hits"])))
+    tries = F.concat("sets", _runs(F.filter("sets", _consistent)), F.array(_matched(_firsts(F.col("copies")))))
+    good = F.filter(tries, lambda t: (F.size(t["ats"]) >= F.col("total") * coverage) & _consistent(t))
+    ranked = F.transform(good, lambda t: F.struct(_same(t).alias("same"), F.size(t["ats"]).alias("windows"), t["pairs"].alias("pairs")))
+    leaks = copies.select("doc_id", "item_id", "total", F.array_max(ranked).alias("best")).where("best is not null")
+    kind = F.when(F.col("best.same"), "exact").otherwise("reparameterised")
+    slots = F.array_sort(F.transform("best.pairs", lambda p: F.concat(p["item"], F.lit("="), p["doc"])))
+    return leaks.select(
+        "doc_id", "item_id", kind.alias("kind"), (F.col("best.windows") / F.col("total")).alias("coverage"), F.col("best.windows").cast("long").alias("windows"), slots.alias("slots"),
     )
 
 

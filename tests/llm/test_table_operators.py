@@ -104,6 +104,23 @@ def test_leak_kinds(spark, docs):
     assert decontaminate.find_leaks(table, items, block=3).count() == 4  # several blocks of items
 
 
+def test_leaks_by_alignment(spark, docs):
+    twice = "A red bus carries 12 people over the old bridge to town and then A red bus carries 30 people over the old bridge back home"
+    train = "A train leaves the town with 40 people and later another train with 40 people leaves for the far coast"
+    part = " ".join(train.replace("40", "55").split()[:12])
+    words = train.split()
+    rows = [
+        (1, f"so {twice} it was"), (2, f"{part} and so on, {train} at last"), (3, f"{part} and then {train.replace('40', '77')}"),
+        (4, " ".join([*words[:10], "quite", *words[10:]])), (5, f"{part} then " + train.replace("40", "60", 1)), (6, twice.replace("12", "15").replace("30", "31")),
+        (7, twice.replace("30", "12")),
+    ]
+    items = spark.createDataFrame([(1, twice), (2, train)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["coverage"]) for r in decontaminate.find_leaks(docs(rows), items).collect()}
+    whole = {k: v[0] for k, v in got.items() if v[1] == 1.0}
+    assert whole == {(1, 1): "exact", (2, 2): "exact", (3, 2): "reparameterised", (6, 1): "reparameterised", (7, 1): "reparameterised"}
+    assert set(got) - set(whole) <= {(4, 2)}
+
+
 def test_nearest_recall(spark, tables):
     v = tables("embeddings")
     data, ids = np.stack(v.embedding.to_numpy()).astype(float), v.vec_id.to_numpy()
