@@ -2,7 +2,7 @@
 
 Texts and benchmark items become templates: numbers, names (capitalised words inside a sentence)
 and units turn into typed placeholders, other words lose case and punctuation. Windows of template
-words are hashed and joined; an item counts as leaked into a text when enough of its windows are
+words are hashed and joined, once with the capitalised words that begin a sentence as words and once as names; an item counts as leaked into a text when enough of its windows are
 there and its slots are consistent, i.e. every value of the item is replaced by one and the same
 value throughout one alignment of item and text, a run of neighbouring alignments, or the first
 places of all windows. Equal values make an exact leak, others a re-parameterised question.
@@ -31,7 +31,7 @@ UNITS = (
     "s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years % percent "
     "dollar dollars euro euros pound pounds cent cents usd eur gbp celsius fahrenheit kelvin degrees"
 ).split()
-NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+NAME, NUMBER, UNIT, START = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def spaced(text: Column) -> Column:
@@ -40,15 +40,20 @@ def spaced(text: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), f"[^\\p{{L}}\\p{{N}}{NAME}{NUMBER}{UNIT} ]+", "")
+    return F.regexp_replace(F.lower(text), f"[^\\p{{L}}\\p{{N}}{NAME}{NUMBER}{UNIT}{START} ]+", "")
 
 
-def template(text: Column) -> Column:
-    """Words of a spaced text with placeholders; as many words as the text has."""
+def templates(text: Column) -> Column:
+    """Two rows of words of a spaced text with placeholders, each with as many words as the text has.
+
+    A capitalised word that begins a sentence is an ordinary word in the first and a name in the second.
+    """
     named = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:] )\p{Lu}[\p{L}'’\-]+", NAME)
-    numbered = F.regexp_replace(named, r"[$€£]?\d+(?:[.,:/]\d+)*", NUMBER)
+    marked = F.regexp_replace(named, r"(?<![\p{L}\p{N}'’\-])(?=\p{Lu}[\p{L}'’\-])", START)
+    numbered = F.regexp_replace(marked, r"[$€£]?\d+(?:[.,:/]\d+)*", NUMBER)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    return F.split(_plain(F.regexp_replace(numbered, f"(?<={NUMBER} ?)(?:{units})(?![\\p{{L}}\\p{{N}}])", UNIT)), " ")
+    plain = _plain(F.regexp_replace(numbered, f"(?<={NUMBER} ?)(?:{units})(?![\\p{{L}}\\p{{N}}])", UNIT))
+    return let(plain, lambda p: F.array(F.split(F.translate(p, START, ""), " "), F.split(F.regexp_replace(p, f"{START}\\p{{L}}+", NAME), " ")))
 
 
 def values(text: Column) -> Column:
@@ -62,7 +67,23 @@ def windows(words: Column, size: int = WINDOW) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i, size)))
         return F.when(F.size(w) >= size, each).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words, runs)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
+
+
+def _both(shapes: Column, size: int) -> Column:
+    """(set, pos, hash) of the windows of both templates; of the second only those that differ."""
+    def tell(w: Column) -> Column:
+        one = F.transform(w[0], lambda h, i: F.struct(F.lit(0).alias("set"), i.alias("pos"), h.alias("hash")))
+        two = F.zip_with(one, w[1], lambda x, h: F.when(x["hash"] != h, F.struct(F.lit(1).alias("set"), x["pos"].alias("pos"), h.alias("hash"))))
+        return F.concat(one, F.filter(two, lambda x: x.isNotNull()))
+
+    return let(F.transform(shapes, lambda w: windows(w, size)), tell)
+
+
+def _short(words: Column, sizes: list[int]) -> Column:
+    """(set, pos, hash) of the windows of items with fewer words than a window."""
+    runs = [F.transform(windows(words, n), lambda h, i: F.struct(F.lit(2).alias("set"), i.alias("pos"), h.alias("hash"))) for n in sizes]
+    return F.concat(*runs)
 
 
 def _matched(hits: Column) -> Column:
@@ -104,46 +125,56 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, si
     docs has doc_id and text, items has item_id and text. kind is `exact` or `reparameterised`;
     coverage is the share of the item's windows found; slots maps the item's slot values to the
     text's. Items with equal words count as the one with the smallest id. Items with fewer words
-    than a window are too short to tell from common phrases and take no part, as do NULL and empty
-    texts and items and items with a NULL id. Rows that repeat a doc_id count as one document;
+    than a window leak where all their words stand, with equal values. NULL and empty texts and items,
+    items without letters and digits and items with a NULL id take no part. Rows that repeat a doc_id count as one document;
     a NULL doc_id is reported as NULL.
     """
     listed = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), spaced(F.col("text")).alias("raw"))
     listed = listed.groupBy("raw").agg(F.min("item_id").alias("item_id"))
-    split = listed.select("item_id", template(F.col("raw")).alias("shape"), values(F.col("raw")).alias("said"))
-    split = split.withColumn("hashes", windows(F.col("shape"), size)).withColumn("total", F.size("hashes")).where("total > 0")
-    split = frozen(split)
+    split = listed.select("item_id", templates(F.col("raw")).alias("shapes"), values(F.col("raw")).alias("said"))
+    split = frozen(split.where(F.exists("said", lambda w: w != "")))
+    sizes = sorted(r[0] for r in split.where(F.size("said") < size).select(F.size("said")).distinct().collect())  # fewer than `size` numbers
     holders = F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT))
     slotted = lambda w: F.exists(holders, lambda h: w.contains(h))
-    parts = split.select(
-        "item_id", "total", F.posexplode("hashes").alias("at", "hash"), "shape", "said",
-    ).select(
-        "item_id", "total", "at", "hash",
-        F.slice("shape", F.col("at") + 1, size).alias("shape"), F.slice("said", F.col("at") + 1, size).alias("said"),
-    )
     # only what the slots need: the item's value where the template has a placeholder, else NULL
-    parts = parts.withColumn("said", F.zip_with("shape", "said", lambda s, v: F.when(slotted(s), v))).drop("shape")
-    blocks = max(1, -(-(split.agg(F.sum("total")).first()[0] or 0) // block))
+    whole = split.where(F.size("said") >= size).select("item_id", (F.size("said") - size + 1).alias("total"), "said", F.posexplode("shapes").alias("set", "shape"))
+    parts = whole.select("item_id", "total", "set", "said", "shape", F.posexplode(windows(F.col("shape"), size)).alias("at", "hash")).select(
+        "item_id", "total", "set", "at", "hash",
+        F.zip_with(F.slice("shape", F.col("at") + 1, size), F.slice("said", F.col("at") + 1, size), lambda s, v: F.when(slotted(s), v)).alias("said"),
+    )
+    for n in sizes:
+        few = split.where(F.size("said") == n).select("item_id", F.lit(1).alias("total"), F.lit(2).alias("set"), F.lit(0).alias("at"), windows(F.col("said"), n)[0].alias("hash"), "said")
+        parts = parts.unionByName(few)
+    parts = frozen(parts)
+    blocks = max(1, -(-parts.count() // block))
 
     rows = docs.select("doc_id", spaced(F.col("text")).alias("raw"))
-    rows = rows.select("doc_id", "raw", F.posexplode(windows(template(F.col("raw")), size)).alias("pos", "hash"))
+    hashes = _both(templates(F.col("raw")), size)
+    if sizes:
+        hashes = F.concat(hashes, let(values(F.col("raw")), lambda w: _short(w, sizes)))
+    rows = rows.select("doc_id", "raw", F.explode(hashes).alias("w")).select("doc_id", "raw", F.col("w.set").alias("from"), F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
 
     def met(number: int) -> DataFrame:
         mine = parts if blocks == 1 else parts.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number)
         hits = rows.join(F.broadcast(mine), "hash")  # at most about `block` windows
-        theirs = F.slice(values(F.col("raw")), F.col("pos") + 1, size)
+        # the second template also meets windows that are alike in both
+        hits = hits.where((F.col("from") == F.col("set")) | ((F.col("from") == 0) & (F.col("set") == 1)))
+        theirs = F.slice(values(F.col("raw")), F.col("pos") + 1, F.size("said"))
         pairs = F.filter(F.zip_with("said", theirs, lambda a, b: F.struct(a.alias("item"), b.alias("doc"))), lambda p: p["item"].isNotNull())
-        return hits.select("doc_id", "item_id", "total", "at", F.col("pos"), pairs.alias("pairs"))
+        hits = hits.select("doc_id", "item_id", "total", "set", "at", F.col("pos"), pairs.alias("pairs"))
+        return hits.where((F.col("set") < 2) | F.forall("pairs", lambda p: p["item"] == p["doc"]))
 
     found = reduce(DataFrame.unionByName, [met(i) for i in range(blocks)])
     # windows of one alignment (place in the text less place in the item) are one copy of the item
-    shifts = found.groupBy("doc_id", "item_id", "total", (F.col("pos") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("at", "pairs"))).alias("hits"))
-    copies = shifts.groupBy("doc_id", "item_id", "total").agg(F.sort_array(F.collect_list(F.struct("shift", "hits"))).alias("copies"))
+    shifts = found.groupBy("doc_id", "item_id", "total", "set", (F.col("pos") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("at", "pairs"))).alias("hits"))
+    copies = shifts.groupBy("doc_id", "item_id", "total", "set").agg(F.sort_array(F.collect_list(F.struct("shift", "hits"))).alias("copies"))
     copies = copies.withColumn("sets", F.transform("copies", lambda c: _matched(c["hits"])))
     tries = F.concat("sets", _runs(F.filter("sets", _consistent)), F.array(_matched(_firsts(F.col("copies")))))
     good = F.filter(tries, lambda t: (F.size(t["ats"]) >= F.col("total") * coverage) & _consistent(t))
     ranked = F.transform(good, lambda t: F.struct(_same(t).alias("same"), F.size(t["ats"]).alias("windows"), t["pairs"].alias("pairs")))
     leaks = copies.select("doc_id", "item_id", "total", F.array_max(ranked).alias("best")).where("best is not null")
+    # each template by itself, so that what one tells apart does not hide what the other finds
+    leaks = leaks.groupBy("doc_id", "item_id", "total").agg(F.max("best").alias("best"))
     kind = F.when(F.col("best.same"), "exact").otherwise("reparameterised")
     slots = F.array_sort(F.transform("best.pairs", lambda p: F.concat(p["item"], F.lit("="), p["doc"])))
     return leaks.select(

@@ -121,6 +121,19 @@ def test_leaks_by_alignment(spark, docs):
     assert set(got) - set(whole) <= {(4, 2)}
 
 
+def test_leaks_with_names_at_sentence_starts_and_short_items(spark, docs):
+    tom = "Tom has 5 red apples in his bag. Tom gives 2 of them to a friend. Tom then buys 4 more. How many are left now?"
+    eight = "Which city has the tallest tower of all?"
+    rows = [
+        (1, "x y. " + tom.replace("Tom", "Ann").replace("5", "9")), (2, tom.replace("Tom", "Ann", 1)), (3, f"and we ask, {eight} yes"),
+        (4, "so what is the boiling point of tin, they said"), (5, "what is the boiling point of iron"), (6, tom),
+    ]
+    items = spark.createDataFrame([(1, tom), (2, eight), (3, "What is the boiling point of tin?"), (4, "?!")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.find_leaks(docs(rows), items).collect()}
+    assert got.pop((2, 1), None) in (None, "exact")
+    assert got == {(1, 1): "reparameterised", (3, 2): "exact", (4, 3): "exact", (6, 1): "exact"}
+
+
 def test_nearest_recall(spark, tables):
     v = tables("embeddings")
     data, ids = np.stack(v.embedding.to_numpy()).astype(float), v.vec_id.to_numpy()
