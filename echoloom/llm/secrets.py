@@ -104,6 +104,10 @@ def fit(featured: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS
         return None
     share = F.when(F.col("label") == 1.0, min(1.0, sample_rows / 2 / counts[1.0])).otherwise(min(1.0, sample_rows / 2 / counts[0.0]))
     picked = labelled.where(F.pmod(F.xxhash64("doc_id", "place", "found"), F.lit(1 << 30)) < share * (1 << 30))
+    picked = frozen(picked)
+    counts = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}  # of the sample: it is what the weights balance
+    if len(counts) < 2:
+        return None
     total = sum(counts.values())
     weight = F.when(F.col("label") == 1.0, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(picked.withColumn("weight", weight)).select("features", "label", "weight")

@@ -214,6 +214,24 @@ def test_secrets(spark, docs):
     assert sum(r["is_secret"] for r in rows) == 2 and secrets.scan(odd.where("false")).count() == 0
 
 
+def test_secret_weights_follow_the_sample(spark, monkeypatch):
+    """The forest sees equal weight for both labels, however much of the larger one the sample leaves out."""
+    seen = {}
+
+    class Forest:
+        def __init__(self, **kwargs):
+            self.column = kwargs["weightCol"]
+
+        def fit(self, data):
+            seen.update({r["label"]: r["w"] for r in data.groupBy("label").agg(F.sum(self.column).alias("w")).collect()})
+
+    monkeypatch.setattr(secrets, "RandomForestClassifier", Forest)
+    zeros = [F.lit(0.0).alias(c) for c in secrets.FEATURES]
+    found = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("place"), F.col("id").cast("string").alias("found"), F.when(F.col("id") < 400, 1.0).otherwise(0.0).alias("label"), *zeros)
+    secrets.fit(found, found, sample_rows=800)
+    assert abs(seen[0.0] / seen[1.0] - 1) < 1e-6
+
+
 def test_url_rules(spark):
     con = connect(SF)
     assert compare(con, queries.ORACLES["op8_url_filter"], queries.op8_url_filter(spark, SF)) is None
