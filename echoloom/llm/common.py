@@ -48,3 +48,9 @@ def spare(df: DataFrame, name: str) -> str:
 def sampled(keys: Column, share: float) -> Column:
     """True for a fixed pseudo-random share of keys, the same rows at every run."""
     return F.pmod(F.xxhash64(keys), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows that the job itself wrote, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

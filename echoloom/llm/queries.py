@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoloom.llm import bpe, decontaminate, jaccard, language, license, line_dedup, nearest, secrets, toxicity, url_filter
+from echoloom.llm import bpe, decontaminate, jaccard, language, lexical, license, line_dedup, nearest, quantize, secrets, simhash, toxicity, url_filter
 from echoloom.llm.common import fold, table
 
 #: Rules of the URL query (verdict, host, path).
@@ -68,11 +68,65 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "matches")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_decontaminate, op3_nearest, op4_license, op5_language, op6_secrets, op7_jaccard, op8_url_filter, op9_line_dedup, op10_toxicity,
+    op11_lexical, op12_vector_codes, op13_simhash,
 )}
 
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """SQL of the same codebooks: one pair of table expressions for each round."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (SELECT n, generate_subscripts(embedding, 1) - 1 AS spot, unnest(embedding) AS x, len(embedding) // {parts} AS width FROM kept),
+ints AS MATERIALIZED (SELECT n, spot // width AS part, spot % width AS pos, CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM cells),
+book0 AS MATERIALIZED (SELECT part, n - 1 AS entry, pos, v AS c FROM ints WHERE n <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+far{r} AS (SELECT i.n, i.part, b.entry, sum((i.v - b.c) * (i.v - b.c)) AS d FROM ints i JOIN book{r} b ON i.part = b.part AND i.pos = b.pos GROUP BY ALL),
+near{r} AS MATERIALIZED (SELECT n, part, entry, d FROM far{r} QUALIFY row_number() OVER (PARTITION BY n, part ORDER BY d, entry) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+sums{r} AS (SELECT i.part, a.entry, i.pos, CAST(sum(i.v) AS BIGINT) AS s, count(*) AS m FROM ints i JOIN near{r} a ON i.n = a.n AND i.part = a.part GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce((s - ((s % m) + m) % m) // m, b.c) AS c FROM book{r} b LEFT JOIN sums{r} USING (part, entry, pos))""")
+    steps.append(f"""
+coded AS (SELECT n, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY n),
+digest AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{rounds})""")
+    return ",".join(steps).strip() + """
+SELECT k.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, d.codebooks_sha256 FROM kept k JOIN coded c USING (n) CROSS JOIN digest d"""
+
+
 ORACLES = {
+    "op11_lexical": r"""
+WITH words AS (SELECT n, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS n, doc_id, text FROM documents)),
+tfs AS MATERIALIZED (SELECT n, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT n, CAST(sum(tf) AS BIGINT) AS n_terms FROM tfs GROUP BY n),
+totals AS (SELECT count(*) AS docs, CAST(sum(n_terms) AS BIGINT) AS terms FROM sizes),
+ms AS (SELECT n, 75 + (25 * n_terms * docs) // terms AS m FROM sizes CROSS JOIN totals),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+asked AS (SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+weights AS (SELECT a.item, a.item_id, a.term, count(*) AS times, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * any_value(df) + 1))) AS BIGINT) AS w
+  FROM asked a JOIN dfs USING (term) CROSS JOIN totals GROUP BY a.item, a.item_id, a.term),
+scores AS (SELECT w.item, w.item_id, t.n, t.doc_id, CAST(sum(w.times * w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * m.m))) AS BIGINT) AS score
+  FROM weights w JOIN tfs t USING (term) JOIN ms m ON m.n = t.n GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY rank <= 20
+""".strip(),
+    "op12_vector_codes": vector_codes_sql(),
     "op8_url_filter": """
 WITH rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
