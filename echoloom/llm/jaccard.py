@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.llm.common import frozen
+from echoloom.llm.common import frozen, spare
 from echoloom.operators.cluster import components
 
 WORDS = 5
@@ -106,8 +106,8 @@ def _sketch(width: int, percent: int, prefix: int):
                 bands.append(_band(n) if n else None)
                 sigs.append(_bitmap(tokens, _width(bands[-1])) if n else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bands, pa.int32()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n", "key", "prefix", "band", "sig"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bands, pa.int32()), pa.array(sigs, pa.binary())],
+                ["doc_id", "digest", "n", "key", "prefix", "band", "sig"],
             )
 
     return run
@@ -393,11 +393,11 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, width: int =
     NULL doc_ids take part in links; a component in which all ids are NULL has a NULL id. Other
     columns of `docs` play no part.
     """
-    sketch_type = "doc_id long, n long, key binary, prefix array<long>, band int, sig binary"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch_type = "doc_id long, digest long, n long, key binary, prefix array<long>, band int, sig binary"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     sketched = frozen(rows.mapInArrow(_sketch(width, percent, PREFIX), sketch_type)).withColumn("rid", F.monotonically_increasing_id())
     full = sketched.where("n > 0")
-    heads = frozen(full.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc")))
+    heads = frozen(full.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc"), F.min_by(F.struct("doc_id", "digest"), "rid").alias("spot")))
     classes = full.join(heads.select("rid"), "rid")
 
     # roots: prefix tokens of two classes or more, one for each set of members
@@ -415,9 +415,10 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, width: int =
     first = frozen(_search(leaf_pairs, alone, percent, full=False))
     tried = first.where("a is not null").select("a", "b").distinct()
     ends = tried.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    # whole texts of the classes that have a candidate, read once for both rounds
-    wanted = ends.join(heads, "rid").select("rid", F.col("first_doc").alias("doc_id"), "key")
-    theirs = rows.withColumnRenamed("doc_id", "__doc").join(wanted, F.col("__doc").eqNullSafe(F.col("doc_id"))).select("rid", "key", "text")
+    # whole texts of the classes that have a candidate, read once for both rounds; ids may be NULL or repeat, so a
+    # class's text is found by its digest as well, and no row meets two classes
+    wanted = ends.join(heads, "rid").select("rid", F.col("spot.doc_id").alias("__doc"), F.col("spot.digest").alias("__digest"), "key")
+    theirs = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("digest") == F.col("__digest"))).select("rid", "key", "text")
     texts = frozen(theirs.mapInArrow(_keyed(width), "rid long, text string").groupBy("rid").agg(F.first("text").alias("text")))
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -450,5 +451,6 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> Dat
     repeated rows go or stay together.
     """
     groups = near_duplicate_groups(docs, percent, width).where("n_shingles > 0 and component_id is not null and doc_id is not null")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = spare(docs, "gone_id")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
