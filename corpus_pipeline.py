@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoloom.llm import bpe, decontaminate, jaccard, line_dedup, toxicity
-from echoloom.llm.common import table
+from echoloom.llm.common import drop_folder, table
 from echoloom.llm.queries import tokenizer_path, toxicity_model
 from echoloom.session import ensure_checkpoint_dir, tune
 
@@ -54,11 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each result is written as Parquet in the shared checkpoint folder and reread."""
+    """All stages; each result is written as Parquet in the shared checkpoint folder and reread.
+
+    A stage's folder is deleted once the next stage has been written; only the last one stays.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            drop_folder(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
