@@ -106,11 +106,22 @@ def _(spark, sf):
     return L.admit(T.read(spark, sf, "events"), "event_type", "ts", "event_id", L.HourlyCap(2))
 
 
-@plan("k04_request_admission")
+def _log_oracle(key: str, limit: int, seconds: int) -> str:
+    """The last `limit` admitted times in order, oldest first; a request is admitted when the oldest is `seconds` old."""
+    wait, last = seconds * 1_000_000, [f"a{k}" for k in range(limit)]
+    ok = f"(w.a0 IS NULL OR w.a0 <= e.t - {wait})"
+    moved = ", ".join(f"CASE WHEN {ok} THEN {following} ELSE w.{mine} END" for mine, following in zip(last, [*[f"w.{a}" for a in last[1:]], "e.t"]))
+    first = ", ".join([*["NULL::BIGINT AS " + a for a in last[:-1]], f"t AS {last[-1]}"])
+    return f"""WITH RECURSIVE e AS (SELECT event_id, {key} AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events),
+    w AS (SELECT event_id, key, i, {first}, true AS admitted FROM e WHERE i = 1 UNION ALL
+    SELECT e.event_id, e.key, e.i, {moved}, {ok} FROM w JOIN e ON e.key IS NOT DISTINCT FROM w.key AND e.i = w.i + 1) SELECT event_id, admitted FROM w"""
+
+
+@plan("k04_request_admission", _log_oracle("event_type", 2, 3600))
 def _(spark, sf):
     return L.admit(T.read(spark, sf, "events"), "event_type", "ts", "event_id", L.SlidingLog(2, 3600))
 
 
-@plan("k04_request_admission_by_user")
+@plan("k04_request_admission_by_user", _log_oracle("user_id", 1, 86400))
 def _(spark, sf):
     return L.admit(T.read(spark, sf, "events"), "user_id", "ts", "event_id", L.SlidingLog(1, 86400))

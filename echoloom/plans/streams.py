@@ -51,24 +51,25 @@ def _(spark, sf):
     return out.select(F.unix_micros("period_end").alias("end_us"), "items")
 
 
-@plan("k04_request_admission_stream")
-def _(spark, sf):
-    return runs.run_available(admission.admit_stream(_events(spark, sf), "event_type", "ts", "event_id", L.SlidingLog(2, 3600)))
+def _batch_oracle(name: str) -> str:
+    import echoloom.plans.health  # noqa: F401  registers the batch twin first
 
+    return ORACLES[name]
 
-def _cooldown_oracle() -> str:
-    import echoloom.plans.health  # noqa: F401  registers the batch twin first
 
-    return ORACLES["j26_alert_cooldown"]
+@plan("k04_request_admission_stream", _batch_oracle("k04_request_admission"))
+def _(spark, sf):
+    out = admission.admit_stream(_events(spark, sf), "event_type", "ts", "event_id", L.SlidingLog(2, 3600))
+    return runs.run_available(out).select("event_id", "admitted")
 
 
-@plan("k05_cooldown_stream", _cooldown_oracle())
+@plan("k05_cooldown_stream", _batch_oracle("j26_alert_cooldown"))
 def _(spark, sf):
     out = admission.admit_stream(_events(spark, sf), "event_type", "ts", "event_id", L.Cooldown(K.ALERT_COOLDOWN_SECONDS))
     return runs.run_available(out).select("event_id", "admitted")
 
 
-@plan("k05_hourly_cap_stream")
+@plan("k05_hourly_cap_stream", _batch_oracle("j28_notification_cap"))
 def _(spark, sf):
     out = admission.admit_stream(_events(spark, sf), "event_type", "ts", "event_id", L.HourlyCap(2))
     return runs.run_available(out).select("event_id", "admitted")

@@ -91,3 +91,64 @@ def test_events_without_a_time_are_not_admitted(spark):
     rows = [(1, "a", None), (2, "a", START), (3, None, START)]
     df = spark.createDataFrame(rows, "id int, key string, ts timestamp_ntz")
     assert {r["id"]: r["admitted"] for r in L.admit(df, "key", "ts", "id", L.Cooldown(300)).collect()} == {1: False, 2: True, 3: True}
+
+
+@pytest.mark.parametrize("rule", [L.Cooldown(120), L.HourlyCap(3, 500), L.HourlyCap(5, 0)], ids=str)
+def test_a_key_of_64_partitions_takes_logarithmic_rounds(spark, monkeypatch, rule):
+    rng = random.Random(6)
+    rows = [(i, "hot" if i < 3900 else "z", START + timedelta(seconds=rng.choice([rng.randrange(60_000), 100 * rng.randrange(600)]))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, key string, ts timestamp_ntz")
+    rounds, chains, found = [], [], L.window_starts
+
+    def counted(functions, order, chain, known):
+        chains.append(len(chain))
+        out = found(functions, order, chain, known)
+        rounds.append(out[1])
+        return out
+
+    monkeypatch.setattr(L, "window_starts", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "66")
+    try:
+        got = {r["id"]: r["admitted"] for r in L.admit(df, "key", "ts", "id", rule).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == sequential(rows, rule)
+    assert chains[0] > 50 and rounds[0] <= 7
+
+
+def test_rules_step_by_step():
+    """Any split of the events into pieces gives the flags of one pass, and functions of pieces give their states."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for rule in (L.Cooldown(5), L.HourlyCap(3, 7), L.HourlyCap(2, 0), L.SlidingLog(1, 9), L.SlidingLog(4, 6), L.SlidingLog(7, 40)):
+        for _ in range(40):
+            times = np.sort(rng.integers(0, 120, 60)) * L.SECOND
+            flags, end = rule.step([], times)
+            plain = sequential([(i, "k", START + timedelta(microseconds=int(t))) for i, t in enumerate(times)], rule)
+            assert [bool(f) for f in flags] == [plain[i] for i in range(60)]
+            cuts = sorted(rng.integers(0, 61, 3).tolist())
+            state, joined = [], []
+            for a, b in zip([0, *cuts], [*cuts, 60]):
+                if hasattr(rule, "steps") and state and b > a:
+                    after = L._after(*rule.steps(times[a:b]), b - a, (np.array([state[0]]), np.array([state[1]])))
+                    assert [int(after[0][0]), int(after[1][0])] == rule.step(state, times[a:b])[1]
+                part, state = rule.step(state, times[a:b])
+                joined += part.tolist()
+            assert joined == flags.tolist()
+            if hasattr(rule, "settled") and rule.settled(times[20:]):
+                late = [rule.step(s, times[20:])[1] for s in ([], times[:20][-rule.limit :].tolist(), [int(times[20])] * rule.limit)]
+                seen = [[t for t in s if t > times[-1] - rule.seconds * L.SECOND] for s in late]
+                assert seen[0] == seen[1] == seen[2]
+
+
+def test_recent_requests_of_one_key(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot"] * 5 + ["b", None]), START + timedelta(seconds=rng.randrange(3000))) for i in range(700)] + [(900, "hot", None)]
+    df = spark.createDataFrame(rows, "id int, key string, ts timestamp_ntz").repartition(5)
+    monkeypatch.setattr(L, "COUNT_ROWS", 20)
+    got = {r["id"]: r["current_requests"] for r in L.recent_requests(df, "key", "ts", 300).collect()}
+    want = {i: sum(k2 == k and t2 is not None and t - timedelta(seconds=300) < t2 <= t for _, k2, t2 in rows) for i, k, t in rows if t is not None}
+    assert got == want
