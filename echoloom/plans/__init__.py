@@ -6,7 +6,7 @@ import importlib
 
 from echoloom.plans.registry import ORACLES, PLANS, Plan
 
-MODULES = ["text", "scoring", "classify", "tickets", "analytics", "learning", "health", "dedup", "cluster", "sources", "streams"]
+MODULES = ["text", "scoring", "classify", "tickets", "analytics", "learning", "health", "dedup", "cluster", "sources", "streams", "stages"]
 
 
 def all_plans() -> dict[str, Plan]:
