@@ -1,9 +1,11 @@
 """Embeddings, density clustering, k-means, cluster records and nearest vectors.
 
-Density clustering needs all pairs within a radius, but never lists them. Vectors are
-grouped into cells around pivots and cut into blocks of bounded size; a task compares two
-blocks with one matrix product. Two blocks meet only if the triangle inequality lets their
-cells come close enough. A task returns neighbour counts and a spanning forest of its
+Density clustering needs all pairs within a radius, but never lists them. Vectors are dealt to a tree
+of cells: a cell of more than BLOCK_ROWS vectors is split around FANOUT of them, and its parts again. Two
+leaves meet only if on every level above them the triangle inequality lets their cells come
+close enough. A leaf no wider than the radius needs no comparison inside: all its vectors are neighbours,
+so counts and links follow from its size. Leaves are cut into blocks, and a task compares two
+blocks with one matrix product. It returns neighbour counts and a spanning forest of its
 neighbour graph, so its output is linear in the block whatever the number of close pairs;
 the union of the forests has the same connected parts as the whole graph. Equal vectors
 are merged before anything is compared.
@@ -29,6 +31,11 @@ from echoloom.session import ensure_checkpoint_dir
 
 NOISE = -1
 BLOCK_ROWS = 2048
+#: Parts of a cell that is split, and levels of splitting at most; what is still too large then is compared block by block.
+FANOUT = 16
+DEPTH = 24
+#: Links that one task joins at once.
+LINKS_PER_TASK = 200_000
 
 
 # --- embeddings ------------------------------------------------------------------------
@@ -78,48 +85,115 @@ def cached_embeddings(texts: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 # --- radius graph ----------------------------------------------------------------------
-def _blocks(vectors: DataFrame, radius: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Unit vectors with cell and block, and the block pairs that can hold close vectors."""
-    rows = vectors.count()
-    cells = max(1, min(1024, int(math.sqrt(rows / BLOCK_ROWS)) * 4)) if rows > BLOCK_ROWS else 1
-    if cells > 1:
-        share = min(1.0, cells * 20 / rows)
-        sample = vectors.sample(share, seed).select("v").limit(cells)  # pivots only steer the layout
-        pivots = np.array([r["v"] for r in sample.collect()])
-    else:
-        pivots = np.zeros((0, 0))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            if len(pivots) == 0:
-                yield batch.assign(cell=np.int32(0), far=0.0)
-                continue
-            m = np.array(batch["v"].tolist())
-            near = np.maximum(0.0, 2 - 2 * m @ pivots.T)  # squared chord of unit vectors
-            cell = near.argmin(axis=1)
-            yield batch.assign(cell=cell.astype(np.int32), far=np.sqrt(near[np.arange(len(m)), cell]))
+def _split(rows: DataFrame, wide: DataFrame, depth: int) -> DataFrame:
+    """(id, v, n, cell, far, center) of the rows of the cells of `wide` (cell, rows), dealt to parts of them.
 
-    kind = vectors.schema["id"].dataType.simpleString()
-    placed = vectors.mapInPandas(place, f"id {kind}, v array<double>, n bigint, cell int, far double").checkpoint()
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius"))
-    layout = [(r["cell"], math.ceil(r["rows"] / BLOCK_ROWS), r["radius"]) for r in sizes.collect()]  # one row per cell
-    spark = vectors.sparkSession
-    parts = spark.createDataFrame([(c, n) for c, n, _ in layout], "cell int, parts int")
+    The FANOUT vectors of a cell with the least hashes are its pivots. They go to each of the tasks that share
+    the cell's rows; a row goes to the part of its nearest pivot.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    shared = wide.select("cell", F.ceil(F.col("rows") / (4 * BLOCK_ROWS)).cast("int").alias("tasks"))
+    mine = rows.join(shared, "cell")  # few cells, large ones are split by adaptive execution
+    least = W.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(depth)), "id")
+    pivots = mine.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= FANOUT)
+    pivots = pivots.select("id", "v", "n", "cell", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    dealt = mine.select("id", "v", "n", "cell", F.lit(1).alias("kind"), F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"))
+    both = pivots.unionByName(dealt).repartition("cell", "task").sortWithinPartitions("cell", "task", "kind", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, held, fresh = None, [], False
+        for batch in batches:
+            keys = list(zip(batch["cell"], batch["task"], batch["kind"]))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                cell, task, what = keys[lo]
+                part = batch.iloc[lo:hi]
+                if what == 0:
+                    if here != (cell, task) or not fresh:
+                        here, held, fresh = (cell, task), [], True
+                    held += part["v"].tolist()
+                    continue
+                fresh = False
+                pivot = np.array(held)
+                m = np.array(part["v"].tolist())
+                apart = np.maximum(0.0, 2 - 2 * m @ pivot.T)  # squared chords of unit vectors
+                to = apart.argmin(axis=1)
+                far = np.sqrt(apart[np.arange(len(m)), to])
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "v": part["v"].to_numpy(), "n": part["n"].to_numpy(), "cell": [f"{cell}.{t}" for t in to], "far": far, "center": [held[t] for t in to]})
+
+    return both.mapInPandas(run, f"id {kind}, v array<double>, n bigint, cell string, far double, center array<double>")
+
+
+def _cells(vectors: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """(placed, nodes): vectors (id, v, n) with their leaf, and all cells (cell, parent, depth, rows, total, far, center, leaf).
+
+    A leaf has BLOCK_ROWS vectors at most, or no two of its vectors are farther apart than the radius.
+    """
+    pivot = vectors.select(F.col("v").alias("center")).limit(1)
+    rows = vectors.withColumn("cell", F.lit("0"))
+    first = pivot.collect()  # one row
+    if not first:
+        shape = "cell string, parent string, depth int, rows bigint, total bigint, far double, center array<double>, leaf boolean"
+        return rows, vectors.sparkSession.createDataFrame([], shape)
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * V.dot(F.col("v"), F.array(*[F.lit(float(x)) for x in first[0]["center"]]))))
+    current = rows.withColumn("far", far).withColumn("center", F.array(*[F.lit(float(x)) for x in first[0]["center"]])).checkpoint()
+    placed = nodes = None
+    for depth in range(DEPTH + 1):
+        found = current.groupBy("cell").agg(F.count("*").alias("rows"), F.sum("n").alias("total"), F.max("far").alias("far"), F.first("center").alias("center"))
+        small = (F.col("rows") <= BLOCK_ROWS) | (2 * F.col("far") <= radius) | F.lit(depth == DEPTH)
+        parent = F.substring_index("cell", ".", depth) if depth else F.lit("")
+        found = found.select("cell", parent.alias("parent"), F.lit(depth).alias("depth"), "rows", "total", "far", "center", small.alias("leaf")).checkpoint()
+        nodes = found if nodes is None else nodes.unionByName(found)
+        wide = found.where("NOT leaf").select("cell", "rows")
+        done = current.select("id", "v", "n", "cell") if wide.isEmpty() else current.join(wide, "cell", "left_anti").select("id", "v", "n", "cell")
+        placed = done if placed is None else placed.unionByName(done)
+        if wide.isEmpty():
+            break
+        current = _split(current.select("id", "v", "n", "cell"), wide, depth).checkpoint()
+    return placed, nodes
+
+
+def _near_leaves(nodes: DataFrame, radius: float) -> DataFrame:
+    """(left, right) of leaves that can hold close vectors, each pair once; both may be one leaf."""
+    side = lambda s: nodes.select(*[F.col(c).alias(f"{c}{s}") for c in ("cell", "parent", "far", "center", "leaf", "depth")])
+    a, b = side("1"), side("2")
+    open_ = nodes.where("depth = 0").select(*[F.col(c).alias(f"{c}{s}") for s in "12" for c in ("cell", "leaf")])
+    apart = V.euclidean(F.col("center1"), F.col("center2"))
+    found = None
+    for _ in range(DEPTH + 1):
+        ends = open_.where("leaf1 AND leaf2").select(F.col("cell1").alias("left"), F.col("cell2").alias("right"))
+        found = ends if found is None else found.unionByName(ends)
+        rest = open_.where("NOT (leaf1 AND leaf2)")
+        if rest.isEmpty():
+            break
+        # a leaf stays, any other cell makes way for its parts
+        up = rest.select(F.struct("cell1", "leaf1").alias("x"), F.struct("cell2", "leaf2").alias("y"))
+        key = lambda s, t: F.struct(F.col(f"{t}.leaf{s}").alias("leaf"), F.col(f"{t}.cell{s}").alias("cell"))
+        keyed = lambda side_, s: side_.select("*", F.explode(F.array(F.struct(F.lit(False).alias("leaf"), F.col(f"parent{s}").alias("cell")), F.struct(F.lit(True).alias("leaf"), F.col(f"cell{s}").alias("cell")))).alias(f"key{s}"))
+        met = up.withColumn("key1", key("1", "x")).withColumn("key2", key("2", "y")).join(keyed(a, "1"), "key1").join(keyed(b, "2"), "key2")
+        swapped = F.col("cell1") > F.col("cell2")
+        same = F.col("x.cell1") == F.col("y.cell2")  # the parts of one cell meet in both orders
+        ok = (apart - F.col("far1") - F.col("far2") <= radius + 1e-9) & ~(same & swapped)
+        open_ = met.where(ok).select("cell1", "leaf1", "cell2", "leaf2").checkpoint()
+    return found
+
+
+def _blocks(vectors: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed, pairs, narrow): vectors with cell and block, block pairs to compare, and leaves no wider than the radius."""
+    placed, nodes = _cells(vectors, radius)
+    # rounding of the distances must not decide
+    leaves = nodes.where("leaf").select("cell", "total", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("parts"), (2 * F.col("far") <= radius - 1e-6).alias("narrow"))
     block = F.concat_ws("_", F.col("cell"), F.pmod(F.xxhash64("id"), F.col("parts")))
-    placed = placed.join(F.broadcast(parts), "cell").select("id", "v", "n", block.alias("block"))
-    near_cells = []  # pairs of at most 1024 cells; their blocks are paired in Spark
-    for i, (ci, ni, ri) in enumerate(layout):
-        for cj, nj, rj in layout[i:]:
-            apart = 0.0 if ci == cj else float(np.linalg.norm(pivots[ci] - pivots[cj]))
-            if apart - ri - rj <= radius + 1e-9:
-                near_cells.append((ci, ni, cj, nj))
-    near = spark.createDataFrame(near_cells, "ci int, ni int, cj int, nj int")
-    near = near.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
-    first = F.when(F.col("ci") == F.col("cj"), F.col("x")).otherwise(0)
-    near = near.withColumn("y", F.explode(F.sequence(first, F.col("nj") - 1)))
-    return placed, near.select(F.concat_ws("_", "ci", "x").alias("left"), F.concat_ws("_", "cj", "y").alias("right"))
+    placed = placed.join(leaves, "cell").select("id", "v", "n", "cell", block.alias("block"))
+    ends = lambda s, name: leaves.select(F.col("cell").alias(name), F.col("parts").alias(f"parts{s}"), F.col("narrow").alias(f"narrow{s}"))
+    near = _near_leaves(nodes, radius).join(ends("1", "left"), "left").join(ends("2", "right"), "right")
+    same = F.col("left") == F.col("right")
+    near = near.where(~(same & F.col("narrow1"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts1") - 1)))
+    near = near.withColumn("y", F.explode(F.sequence(F.when(same, F.col("x")).otherwise(0), F.col("parts2") - 1)))
+    pairs = near.select(F.concat_ws("_", "left", "x").alias("left"), F.concat_ws("_", "right", "y").alias("right"))
+    return placed, pairs, leaves.where("narrow").select("cell", "total")
 
 
 def _tiles(placed: DataFrame, near: DataFrame) -> DataFrame:
@@ -177,13 +251,20 @@ def _neighbour_table(tiles: DataFrame, eps: float, id_kind: str, core: bool) ->
     return tiles.groupBy("tile").applyInPandas(run, schema)
 
 
-def neighbour_counts(vectors: DataFrame, eps: float, seed: int = 42) -> DataFrame:
+def _counts(placed: DataFrame, pairs: DataFrame, narrow: DataFrame, eps: float, kind: str) -> DataFrame:
+    """(id, near): how many other vectors are close, `n` of each row counted."""
+    inside = placed.join(narrow, "cell").select("id", (F.col("total") - F.col("n")).alias("near"))
+    counts = _neighbour_table(_tiles(placed, pairs), eps, kind, core=False).unionByName(inside)
+    return counts.groupBy("id").agg(F.sum("near").alias("near"))
+
+
+def neighbour_counts(vectors: DataFrame, eps: float) -> DataFrame:
     """(id, neighbours): other vectors within the cosine distance `eps`; zero vectors have none."""
     ensure_checkpoint_dir(vectors.sparkSession)
     unit = vectors.select("id", V.normalize(F.col("embedding")).alias("v"), F.lit(1).cast("bigint").alias("n"))
-    placed, near = _blocks(unit.where(V.norm(F.col("v")) > 0), math.sqrt(2 * eps), seed)
+    placed, pairs, narrow = _blocks(unit.where(V.norm(F.col("v")) > 0), math.sqrt(2 * eps))
     kind = vectors.schema["id"].dataType.simpleString()
-    counts = _neighbour_table(_tiles(placed, near), eps, kind, core=False).groupBy("id").agg(F.sum("near").alias("neighbours"))
+    counts = _counts(placed, pairs, narrow, eps, kind).withColumnRenamed("near", "neighbours")
     return vectors.select("id").join(counts, "id", "left").na.fill(0, ["neighbours"])
 
 
@@ -204,14 +285,45 @@ def similarity_totals(vectors: DataFrame) -> DataFrame:
     return sums.groupBy("grp").agg(F.sum(F.col("x") * F.col("x")).alias("total"), F.max(F.col("n") * F.col("n")).alias("pairs"))
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of one task as (end, least end reachable by them)."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    ends = list(parent)
+    yield pd.DataFrame({"a": ends, "b": [root(x) for x in ends]})
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component): least id of the connected part, by large-star and small-star rounds.
+    """(id, component): least id of the connected part.
 
-    The rounds grow with the logarithm of the longest path; every round is frozen by a
+    Each task first turns its links, LINKS_PER_TASK or so, into stars. If they take several tasks, the stars are joined by
+    large-star and small-star rounds, whose number grows with the logarithm of the longest path; every round is frozen by a
     reliable checkpoint.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    current = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    kind = nodes.schema["id"].dataType.simpleString()
+    links = edges.select("a", "b").checkpoint()
+    tasks = max(1, -(-links.count() // LINKS_PER_TASK))
+    stars = links.coalesce(tasks).mapInPandas(_stars, f"a {kind}, b {kind}").checkpoint()
+    roots = stars.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if tasks > 1:
+        roots = _joined_stars(stars)
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _joined_stars(stars: DataFrame) -> DataFrame:
+    current = stars.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     previous = None
     while True:
         # large star: larger neighbours of a node move to its least neighbour
@@ -224,13 +336,11 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         current = small.checkpoint()
         mark = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == previous:
-            break
+            return current.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
         previous = mark
-    roots = current.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
-    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def dbscan(vectors: DataFrame, eps: float = 0.3, min_samples: int = 2, seed: int = 42) -> DataFrame:
+def dbscan(vectors: DataFrame, eps: float = 0.3, min_samples: int = 2) -> DataFrame:
     """(id, label): cosine density clusters named by their least core id, −1 for noise ("-1" if ids are strings).
 
     A row counts itself. A border row joins its least core neighbour's cluster. Zero vectors
@@ -238,16 +348,20 @@ def dbscan(vectors: DataFrame, eps: float = 0.3, min_samples: int = 2, seed: int
     """
     ensure_checkpoint_dir(vectors.sparkSession)
     unit = vectors.select("id", V.normalize(F.col("embedding")).alias("v"))
-    unit = unit.withColumn("zero", V.norm(F.col("v")) == 0).withColumn("key", F.xxhash64(F.to_json(F.struct("v"))))
+    unit = unit.withColumn("zero", V.norm(F.col("v")) == 0).withColumn("key", F.xxhash64(F.to_json(F.struct("v")))).checkpoint()
     solid = unit.where("NOT zero")
     merged = solid.groupBy("key", "v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     members = solid.select("id", "key", "v").join(merged.select("key", "v", F.col("id").alias("lead"), "n"), ["key", "v"])
-    placed, near = _blocks(merged.select("id", "v", "n"), math.sqrt(2 * eps), seed)
+    placed, pairs, narrow = _blocks(merged.select("id", "v", "n"), math.sqrt(2 * eps))
     kind = vectors.schema["id"].dataType.simpleString()
-    tiles = _tiles(placed, near)
-    counts = _neighbour_table(tiles, eps, kind, core=False).groupBy("id").agg(F.sum("near").alias("near"))
-    flagged = placed.join(counts, "id").withColumn("core", F.col("near") + F.col("n") >= min_samples).drop("near").checkpoint()
-    found = _neighbour_table(_tiles(flagged, near), eps, kind, core=True).checkpoint()
+    counts = _counts(placed, pairs, narrow, eps, kind)
+    flagged = placed.join(counts, "id", "left").withColumn("core", F.coalesce("near", F.lit(0)) + F.col("n") >= min_samples).drop("near").checkpoint()
+    tiles = _neighbour_table(_tiles(flagged, pairs), eps, kind, core=True)
+    # in a narrow leaf every vector is a neighbour of the least core one
+    inside = flagged.join(narrow, "cell")
+    heads = inside.where("core").groupBy("cell").agg(F.min("id").alias("head"))
+    linked = inside.join(heads, "cell").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"), F.col("core").alias("both"))
+    found = tiles.unionByName(linked).checkpoint()
     cores = flagged.where("core").select("id")
     parts = components(found.where("both").select("a", "b"), cores)
     border = found.where("NOT both").groupBy(F.col("a").alias("id")).agg(F.min("b").alias("core_id"))

@@ -79,6 +79,18 @@ def _(spark, sf):
     return C.dbscan(_vectors(spark, sf), EPS)
 
 
+@plan(
+    "i06_dbscan_of_three",
+    "WITH RECURSIVE " + EDGES[5:].rstrip() + """, core AS (SELECT document_id AS id FROM vectors LEFT JOIN e ON a = document_id GROUP BY 1 HAVING count(b) + 1 >= 3),
+    reach AS (SELECT id, id AS other FROM core UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other JOIN core c ON c.id = e.b),
+    part AS (SELECT id, min(other) AS label FROM reach GROUP BY id),
+    border AS (SELECT a AS id, min(b) AS nearest FROM e JOIN core c ON c.id = e.b WHERE a NOT IN (SELECT id FROM core) GROUP BY a)
+    SELECT document_id AS id, coalesce(p.label, q.label, -1) AS label FROM vectors LEFT JOIN part p ON p.id = document_id LEFT JOIN border b ON b.id = document_id LEFT JOIN part q ON q.id = b.nearest""",
+)
+def _(spark, sf):
+    return C.dbscan(_vectors(spark, sf), EPS, 3)
+
+
 @plan("c13_radius_neighbours", EDGES + "SELECT document_id AS id, count(b) AS neighbours FROM vectors LEFT JOIN e ON a = document_id GROUP BY 1")
 def _(spark, sf):
     return C.neighbour_counts(_vectors(spark, sf), EPS)

@@ -66,6 +66,35 @@ def test_density_clusters_equal_the_definition(spark, monkeypatch, min_samples,
     assert got == brute(rows, 0.02, min_samples)
 
 
+def test_a_deep_tree_with_narrow_cells(spark, monkeypatch):
+    """Cells of cells, leaves whose vectors are all neighbours, and vectors far from all others."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(C, "FANOUT", 3)
+    rng = random.Random(7)
+    centers = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(5)]
+    rows = []
+    for i in range(150):
+        spread = rng.choice([1e-4, 1e-4, 0.1, 0.6])
+        rows.append((i, [x + rng.gauss(0, spread) for x in rng.choice(centers)]))
+    df = spark.createDataFrame(rows, VEC).repartition(3)
+    unit = df.select("id", V.normalize(F.col("embedding")).alias("v"), F.lit(1).cast("bigint").alias("n"))
+    placed, nodes = C._cells(unit, 0.2)
+    seen = nodes.collect()
+    assert placed.count() == 150 and max(r["depth"] for r in seen) >= 2 and any(r["leaf"] and r["rows"] > 8 for r in seen)
+    assert {r["id"]: r["label"] for r in C.dbscan(df, 0.02, 4).collect()} == brute(rows, 0.02, 4)
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = (1 - m @ m.T <= 0.02 + 1e-12).sum(axis=1) - 1
+    assert {r["id"]: r["neighbours"] for r in C.neighbour_counts(df, 0.02).collect()} == dict(enumerate(want.tolist()))
+
+
+def test_components_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(C, "LINKS_PER_TASK", 30)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200) if i != 100], "a int, b int").repartition(6)
+    out = {r["id"]: r["component"] for r in C.components(edges, spark.range(0, 202).selectExpr("cast(id AS int) AS id")).collect()}
+    assert all(out[i] == (0 if i <= 100 else 101) for i in range(201)) and out[201] == 201
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200) if i != 100], "a int, b int")
     out = {r["id"]: r["component"] for r in C.components(edges, spark.range(0, 202).selectExpr("cast(id AS int) AS id")).collect()}
