@@ -58,6 +58,10 @@ class HourlyCap:
     limit: int = 10
     seconds: int = 3600
 
+    def over(self, state: list[int]) -> int:
+        """From when on the state says nothing any more."""
+        return state[0]
+
     def step(self, state: list[int], times: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Flags of sorted events, and the state after them."""
         until, count = state if state else (_NEVER, 0)
@@ -90,6 +94,9 @@ class Cooldown:
 
     seconds: int = 300
 
+    def over(self, state: list[int]) -> int:
+        return state[0]
+
     def step(self, state: list[int], times: np.ndarray) -> tuple[np.ndarray, list[int]]:
         return HourlyCap(1, self.seconds).step(state, times)
 
@@ -104,6 +111,9 @@ class SlidingLog:
     limit: int = 100
     seconds: int = 3600
 
+    def over(self, state: list[int]) -> int:
+        return state[-1] + self.seconds * SECOND
+
     def step(self, state: list[int], times: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """The k-th admission comes at the first event after the one before it that is `seconds` after the
         (k - limit)-th, so `limit` of them follow at once from the last `limit`."""

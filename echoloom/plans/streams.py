@@ -75,6 +75,18 @@ def _(spark, sf):
     return runs.run_available(out).select("event_id", "admitted")
 
 
+def _ordered_oracle() -> str:
+    """The batch answers of all events that the watermark, ten minutes behind the last one, has passed."""
+    head, tail = _batch_oracle("j26_alert_cooldown").rsplit("SELECT event_id, admitted FROM w", 1)
+    return head + "SELECT event_id, admitted FROM w JOIN e USING (event_id) WHERE t < (SELECT (max(t) // 1000 - 600000) * 1000 FROM e)" + tail
+
+
+@plan("k05_ordered_stream", _ordered_oracle())
+def _(spark, sf):
+    out = admission.admit_ordered(_events(spark, sf), "event_type", "ts", "event_id", L.Cooldown(K.ALERT_COOLDOWN_SECONDS), "10 minutes")
+    return runs.run_available(out).select("event_id", "admitted")
+
+
 @plan("k07_stream_upsert", "SELECT event_type AS source_type, user_id::VARCHAR AS source_id, max(epoch_us(ts)) AS latest FROM events GROUP BY ALL")
 def _(spark, sf):
     import uuid

@@ -1,13 +1,21 @@
-"""Admission rules on a stream, with the rule's small state kept per key."""
+"""Admission rules on a stream, with the rule's small state kept per key.
+
+`admit_stream` answers at once and takes time order inside a micro-batch only. `admit_ordered` answers when the
+watermark has passed an event, so events that come out of order, within the delay, get the batch operator's answer.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def admit_stream(events: DataFrame, key: str, time: str, id_col: str, rule) -> DataFrame:
@@ -32,3 +40,65 @@ def admit_stream(events: DataFrame, key: str, time: str, id_col: str, rule) -> D
         step, f"key string, id {kind}, admitted boolean", "state array<bigint>", "append", GroupStateTimeout.NoTimeout
     )
     return out.withColumnRenamed("id", id_col)
+
+
+class _Ordered(StatefulProcessor):
+    """Events wait in a list until the watermark has passed them; then the rule takes them in order of time and id.
+
+    The list holds what came in the last `delay` of event time, the value the rule's state. A timer at the
+    earliest waiting event wakes the key, and one at the end of its state clears it.
+    """
+
+    def __init__(self, rule, kind: str):
+        self.rule, self.kind = rule, kind
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"time bigint, id {self.kind}")
+        self.held = handle.getValueState("held", "state array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            self.waiting.appendList(list(zip(frame["time"].tolist(), frame["id"].tolist())))
+        yield from self._judged(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._judged(key, timerValues)
+
+    def _judged(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        every = sorted(tuple(r) for r in self.waiting.get())
+        due, later = [r for r in every if r[0] < passed], [r for r in every if r[0] >= passed]
+        state = list(self.held.get()[0]) if self.held.exists() else []
+        if due:
+            flags, state = self.rule.step(state, np.array([t for t, _ in due], dtype=np.int64))
+            yield pd.DataFrame({"key": [key[0]] * len(due), "id": [i for _, i in due], "admitted": flags})
+            self.waiting.put(later) if later else self.waiting.clear()
+        if state and not later and self.rule.over(state) < passed:
+            self.held.clear()
+            return
+        if due:
+            self.held.update((state,))
+        # a timer is over when the watermark is past it, in whole milliseconds
+        wake = later[0][0] if later else self.rule.over(state) if state else None
+        if wake is not None:
+            self.handle.registerTimer(max(wake // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def close(self) -> None:
+        pass
+
+
+def admit_ordered(events: DataFrame, key: str, time: str, id_col: str, rule, delay: str = "10 minutes") -> DataFrame:
+    """(key, id, admitted) of every event that the watermark, `delay` behind the newest event, has passed.
+
+    Events older than the watermark at their arrival are dropped, as by any watermark; events without a time are, too.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    moment = F.col(time).cast("timestamp")
+    rows = events.select(F.col(key).cast("string").alias("key"), moment.alias("moment"), F.unix_micros(moment).alias("time"), F.col(id_col).alias("id"))
+    rows = rows.where("moment is not null").withWatermark("moment", delay)
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Ordered(rule, kind), outputStructType=f"key string, id {kind}, admitted boolean", outputMode="append", timeMode="eventTime",
+    )
+    return out.withColumnRenamed("id", id_col)

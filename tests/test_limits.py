@@ -5,7 +5,7 @@ import pytest
 
 from echoloom.operators import limits as L
 from echoloom.operators.ordering import global_rank, rolling
-from echoloom.streaming.admission import admit_stream
+from echoloom.streaming.admission import admit_ordered, admit_stream
 from echoloom.streaming.runs import run_available, stream_parquet
 
 START = datetime(2024, 1, 1)
@@ -152,3 +152,21 @@ def test_recent_requests_of_one_key(spark, monkeypatch):
     got = {r["id"]: r["current_requests"] for r in L.recent_requests(df, "key", "ts", 300).collect()}
     want = {i: sum(k2 == k and t2 is not None and t - timedelta(seconds=300) < t2 <= t for _, k2, t2 in rows) for i, k, t in rows if t is not None}
     assert got == want
+
+
+@pytest.mark.parametrize("rule", [L.Cooldown(300), L.SlidingLog(3, 900), L.HourlyCap(4, 1200)], ids=str)
+def test_events_out_of_order_get_the_answers_of_the_batch(spark, tmp_path, rule):
+    import os
+
+    rows = sorted(events(240, 5), key=lambda r: (r[2], r[0]))
+    late = random.Random(1)
+    mixed = sorted(rows, key=lambda r: r[2] + timedelta(seconds=late.randrange(3000)))  # up to 50 minutes late
+    ends = [(9000, "end", START + timedelta(days=30)), (9001, "end", START + timedelta(days=60))]
+    landed = tmp_path / "landed"
+    for part, piece in enumerate([mixed[:80], mixed[80:160], mixed[160:], ends[:1], ends[1:]]):
+        spark.createDataFrame(piece, "id int, key string, ts timestamp_ntz").coalesce(1).write.parquet(str(landed / f"{part}"))
+        for f in (landed / f"{part}").iterdir():
+            os.utime(f, (1_700_000_000 + part, 1_700_000_000 + part))
+    stream = spark.readStream.schema("id int, key string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(landed))
+    got = {r["id"]: r["admitted"] for r in run_available(admit_ordered(stream, "key", "ts", "id", rule, "60 minutes")).collect()}
+    assert {i: a for i, a in got.items() if i < 9000} == sequential(rows, rule) and 9001 not in got
