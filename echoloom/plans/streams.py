@@ -106,6 +106,33 @@ def _(spark, sf):
     return store.select("source_type", "source_id", F.col("raw_metadata")["t"].cast("bigint").alias("latest"))
 
 
+@plan(
+    "k07_delta_store",
+    """SELECT event_type AS source_type, user_id::VARCHAR AS source_id, arg_max(event_id, (epoch_us(ts), event_id))::VARCHAR AS title, max(epoch_us(ts)) AS latest
+    FROM events WHERE event_id % 2 = 1 OR (event_type, user_id) NOT IN (SELECT (event_type, user_id) FROM events WHERE event_id % 2 = 1) GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Even events as the first batch, odd ones as the second, which wins; the first one is compacted in between."""
+    import uuid
+
+    from echoloom.session import ensure_checkpoint_dir
+    from echoloom.sources import store
+
+    text = lambda c: F.col(c).cast("string")
+    events = T.read(spark, sf, "events")
+    records = events.select(
+        F.col("event_type").alias("source_type"), text("user_id").alias("source_id"), F.lit("").alias("url"), text("event_id").alias("title"),
+        F.lpad(text("event_id"), 20, "0").alias("content"), text("user_id").alias("author"), F.lit("").alias("author_url"), F.col("ts").alias("timestamp"),
+        F.create_map(F.lit("t"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string")).alias("raw_metadata"), (F.col("event_id") % 2).alias("odd"),
+    )
+    path = f"{ensure_checkpoint_dir(spark)}/stores/{uuid.uuid4().hex}"
+    add = store.store_batches(path, buckets=8, every=1)
+    add(records.where("odd = 0"), 0)
+    store.add_batch(records.where("odd = 1"), path, 1, buckets=4)
+    found = store.read_store(spark, path)
+    return found.select("source_type", "source_id", "title", F.col("raw_metadata")["t"].cast("bigint").alias("latest"))
+
+
 @plan("a17_table_scan", "SELECT source AS source_type, count(*) AS rows, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
 def _(spark, sf):
     """Scan with a declared schema: two columns reach the reader."""
