@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -318,6 +319,22 @@ def admit(events: DataFrame, key: str, time: str, id_col: str, rule) -> DataFram
     return placed.mapInPandas(flag, f"__id {kind}, admitted boolean").withColumnRenamed("__id", id_col).unionByName(untimed)
 
 
+def admit_by_class(events: DataFrame, key: str, kind: str, time: str, id_col: str, limits: dict[str, int], seconds: int = 3600) -> DataFrame:
+    """(id, admitted, limit, remaining) of requests under the limit of their class; a class without one has that of `default`.
+
+    Every key has a log for each class. remaining is what the class leaves after the request's moment: nothing
+    for a rejected one. Requests without a time are rejected. One pass for each of the few limits.
+    """
+    named = F.when(F.col(kind).isin(sorted(limits)), F.col(kind)).otherwise("default")
+    rows = events.select(F.col(id_col).alias("__id"), F.col(time).alias("__moment"), named.alias("__class"), F.to_json(F.struct(F.col(key).cast("string").alias("k"), named.alias("c"))).alias("__log"))
+    flags = [admit(rows.where(F.col("__class") == c), "__log", "__moment", "__id", SlidingLog(limit, seconds)) for c, limit in sorted(limits.items())]
+    judged = rows.join(reduce(DataFrame.unionByName, flags), "__id")
+    limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])[F.col("__class")]
+    taken = recent_requests(judged.where("admitted"), "__log", "__moment", seconds).select("__id", (limit - F.col("current_requests")).alias("left"))
+    out = judged.join(taken, "__id", "left")
+    return out.select(F.col("__id").alias(id_col), "admitted", limit.alias("limit"), F.greatest(F.lit(0), F.coalesce("left", F.lit(0))).alias("remaining"))
+
+
 def recent_requests(events: DataFrame, key: str, time: str, seconds: int = 3600) -> DataFrame:
     """Requests in the last `seconds` up to each request, rejected ones and those of the same moment included.
 

@@ -210,6 +210,18 @@ def _(spark, sf):
     return C.embed(docs, model, 3).select("id", F.round(V.norm(F.col("embedding")), 6).alias("length"))
 
 
+@plan(
+    "i14_embed_vectors",
+    """SELECT id, round(l / n, 6) AS x, round(s / n, 6) AS y, round(1 / n, 9) AS z FROM (SELECT id, l, s, sqrt(l * l + s * s + 1) AS n FROM
+    (SELECT doc_id AS id, CAST(length(text) AS DOUBLE) AS l, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS DOUBLE) AS s FROM documents))""",
+)
+def _(spark, sf):
+    model = lambda texts: [[float(len(t)), float(t.count(" ") + 1), 1.0] for t in texts]
+    found = C.embed(T.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), model, 3)
+    part = lambda i, digits: F.round(F.col("embedding")[i], digits)
+    return found.select("id", part(0, 6).alias("x"), part(1, 6).alias("y"), part(2, 9).alias("z"))
+
+
 @plan(
     "i05_similarity_totals",
     VEC + f"SELECT a.label, round(sum({_COS}), 6) AS total, count(*) AS pairs FROM vectors a JOIN vectors b ON a.label = b.label GROUP BY a.label",

@@ -125,3 +125,23 @@ def _(spark, sf):
 @plan("k04_request_admission_by_user", _log_oracle("user_id", 1, 86400))
 def _(spark, sf):
     return L.admit(T.read(spark, sf, "events"), "user_id", "ts", "event_id", L.SlidingLog(1, 86400))
+
+
+_CLASSES = {"click": "workflow", "view": "report", "purchase": "admin"}
+_CLASS_SQL = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{c}'" for e, c in _CLASSES.items()) + " ELSE 'default' END"
+_LIMIT_SQL = f"CASE {_CLASS_SQL} " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in K.REQUEST_LIMITS.items()) + " END"
+
+
+@plan(
+    "k04_documented_limits",
+    f"""WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) AS t, {_LIMIT_SQL} AS lim, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    w AS (SELECT event_id, event_type, i, [t] AS log, true AS admitted, lim, t FROM e WHERE i = 1 UNION ALL
+    SELECT e.event_id, e.event_type, e.i, CASE WHEN len(list_filter(w.log, lambda x: x > e.t - 86400000000)) < e.lim THEN list_append(list_filter(w.log, lambda x: x > e.t - 86400000000), e.t)
+    ELSE list_filter(w.log, lambda x: x > e.t - 86400000000) END, len(list_filter(w.log, lambda x: x > e.t - 86400000000)) < e.lim, e.lim, e.t FROM w JOIN e ON e.event_type = w.event_type AND e.i = w.i + 1)
+    SELECT event_id, admitted, lim AS "limit", CASE WHEN admitted THEN lim - max(len(log)) OVER (PARTITION BY event_type, t) ELSE 0 END AS remaining FROM w""",
+)
+def _(spark, sf):
+    """The documented limits by class of endpoint, per day so that the test events reach them."""
+    events = T.read(spark, sf, "events")
+    kinds = F.create_map(*[F.lit(x) for pair in _CLASSES.items() for x in pair])
+    return L.admit_by_class(events.withColumn("class", kinds[F.col("event_type")]), "event_type", "class", "ts", "event_id", K.REQUEST_LIMITS, 86400)
