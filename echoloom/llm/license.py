@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Notice phrases of the base scan and their labels.
-BASE = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Further notice phrases.
 NOTICES = {
-    "gnu general public license": "gpl", "gnu general public license version 2": "gpl-2", "gnu general public license version 3": "gpl-3",
+    "mit license": "mit", "gnu general public license": "gpl", "gnu general public license version 2": "gpl-2", "gnu general public license version 3": "gpl-3",
     "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl", "mozilla public license": "mpl",
     "bsd 2 clause": "bsd-2", "bsd 3 clause": "bsd-3", "isc license": "isc", "creative commons attribution": "cc-by", "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd", "cc0 1 0": "cc0", "public domain": "public-domain", "the unlicense": "unlicense", "all rights reserved": "proprietary",

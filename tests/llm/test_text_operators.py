@@ -81,6 +81,13 @@ def test_license_base(spark, tables, docs):
     assert {r["doc_id"]: r["score"] for r in got}[1] == 0.0
 
 
+def test_license_base_phrases(docs):
+    """The MIT phrase of the base scan is four words long; the shorter notice gives the method's label only."""
+    rows = license.scan_documents(docs([(1, "Use it Under the MIT License."), (2, "MIT License"), (3, "under the mit licenses"), (4, "cc by nc, under the mit license")])).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) for r in rows}
+    assert got == {1: (6, 1, 2, 2, "mit", "mit"), 2: (2, 0, None, None, "", "mit"), 3: (4, 0, None, None, "", ""), 4: (7, 2, 0, 3, "cc-by-nc,mit", "cc-by-nc,mit")}
+
+
 def test_license_expressions(docs):
     assert license.postfix("MIT OR Apache-2.0 AND BSD-3-Clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
     assert license.postfix("(MIT OR Apache-2.0) AND GPL-2.0 WITH Classpath-exception-2.0") == ["mit", "apache-2.0", "or", "gpl-2.0", "classpath-exception-2.0", "with", "and"]
