@@ -83,8 +83,15 @@ def classify_replies(replies: DataFrame) -> DataFrame:
     return classify_parsed(df.select("id", F.col("reply_json").alias("item")))
 
 
-def classify_parsed(parsed: DataFrame) -> DataFrame:
-    """Normalise the labels, apply the adjustment rules, list what fails validation."""
+def adjusted_replies(replies: DataFrame) -> DataFrame:
+    """(id, raw_severity, severity_level, severity_confidence) of the usable replies whose level the rules changed; one pass."""
+    df = R.parse_columns(replies, "reply").where(F.col("reply_json").isNotNull())
+    df = _labelled(df.select("id", F.col("reply_json").alias("item")))
+    return df.select("id", "raw_severity", "severity_level", "severity_confidence").where("raw_severity <> severity_level")
+
+
+def _labelled(parsed: DataFrame) -> DataFrame:
+    """Labels as given (severity) and after the adjustment rules, and the confidences."""
     names = ["type_confidence", "severity_confidence", "component_confidence"]
     number = lambda name: F.col(f"item.{name}").try_cast("double")
     for name in names:  # a confidence that is no number makes the reply unusable
@@ -104,11 +111,16 @@ def classify_parsed(parsed: DataFrame) -> DataFrame:
     df = df.withColumn("severity_level", R.adjusted_severity(kind, level)).withColumn(
         "severity_confidence", R.adjusted_severity_confidence(kind, level, F.col("raw_severity_confidence"))
     )
-    df = df.withColumn(
+    return df.withColumn(
         "overall_confidence",
         R.mean_confidence(F.col("type_confidence"), F.col("severity_confidence"), F.col("component_confidence")),
     )
-    return df.select(
+
+
+def classify_parsed(parsed: DataFrame) -> DataFrame:
+    """Normalise the labels, apply the adjustment rules, list what fails validation."""
+    kind = F.col("feedback_type")
+    return _labelled(parsed).select(
         "id", "feedback_type", "severity_level", "component", "type_confidence", "severity_confidence",
         "component_confidence", "overall_confidence",
         R.severity_to_score(F.col("severity_level")).alias("severity_score"),

@@ -124,10 +124,7 @@ def _(spark, sf):
     CLASSIFIED_SQL + "SELECT id, raw_severity, severity_level, severity_confidence FROM classified WHERE raw_severity <> severity_level",
 )
 def _(spark, sf):
-    df = R.parse_columns(reply_table(spark, sf), "reply").where("reply_json IS NOT NULL")
-    raw = df.select("id", R.severity_level(F.col("reply_json.severity_level")).alias("raw_severity"))
-    out = classified(spark, sf).select("id", "severity_level", "severity_confidence")
-    return raw.join(out, "id").where("raw_severity <> severity_level")
+    return classify.adjusted_replies(reply_table(spark, sf))
 
 
 _ERRORS = ", ".join(

@@ -166,3 +166,13 @@ def test_backfill_loses_no_late_rows(spark, tmp_path):
     counts = digest.run_counts(stream, "timestamp", "1 day")
     got = {str(r["period_start"])[:10]: r["items"] for r in counts.collect()}
     assert got == {"2024-03-01": 2, "2024-03-02": 1, "2024-01-01": 1, "2024-01-02": 1}
+
+
+def test_adjusted_replies_in_one_pass(spark):
+    """One row per adjusted reply, also for repeated ids, and no join whose small side would go through the driver."""
+    row = lambda kind, level: '{"feedback_type": "%s", "severity_level": "%s", "severity_confidence": 0.9}' % (kind, level)
+    rows = [(1, row("feature_request", "critical")), (1, row("bug", "minimal")), (2, row("bug", "high")), (3, "none"), (None, row("bug", "minimal"))]
+    out = classify.adjusted_replies(spark.createDataFrame(rows, "id int, reply string"))
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted([(1, "critical", "medium", 0.7), (1, "minimal", "low", 0.6), (None, "minimal", "low", 0.6)], key=str)
+    assert "Join" not in out._jdf.queryExecution().toString()
