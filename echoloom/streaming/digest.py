@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoloom.session import ensure_checkpoint_dir
+from echoloom.streaming.ingest import stored
 
 
 def period_counts(events: DataFrame, time: str, lateness: str, period: str = "1 hour", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -57,4 +58,6 @@ def run_counts(events: DataFrame, time: str, length: str, step: str | None = Non
     events.writeStream.foreachBatch(add).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
     kinds = "".join(f", {k} {events.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"period_start timestamp, period_end timestamp{kinds}, items bigint, batch bigint"
+    if not stored(spark, f"{base}/counts"):  # nothing has landed yet
+        return total_counts(spark.createDataFrame([], schema), keys)
     return total_counts(spark.read.schema(schema).parquet(f"{base}/counts"), keys)

@@ -57,7 +57,10 @@ def run_ingest(raw: DataFrame, out: str | None = None) -> DataFrame:
     base = out or f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
     query = raw.writeStream.foreachBatch(add_normalized(base)).option("checkpointLocation", f"{base}/progress")
     query.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(normalize_documents(raw).schema).parquet(f"{base}/documents").drop("batch")
+    schema = normalize_documents(raw).schema
+    if not stored(spark, f"{base}/documents"):  # nothing has landed yet
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{base}/documents").drop("batch")
 
 
 def stored(spark: SparkSession, path: str) -> bool:

@@ -10,12 +10,15 @@ from echoloom.session import ensure_checkpoint_dir
 
 
 def stream_parquet(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """File stream over `<folder>/<name>`; the schema is taken from the files, not inferred per batch."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """File stream over `<folder>/<name>`, one file or a folder of files; the schema is taken from the files, not inferred per batch."""
+    table = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(table).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(table)
 
 
 def run_available(stream: DataFrame, out: str | None = None, mode: str = "append") -> DataFrame:

@@ -176,3 +176,21 @@ def test_adjusted_replies_in_one_pass(spark):
     got = sorted((tuple(r) for r in out.collect()), key=str)
     assert got == sorted([(1, "critical", "medium", 0.7), (1, "minimal", "low", 0.6), (None, "minimal", "low", 0.6)], key=str)
     assert "Join" not in out._jdf.queryExecution().toString()
+
+
+def test_streams_read_tables_stored_as_folders(spark, tmp_path):
+    """A table may be a folder of part files; a stream over it reads them all, and an empty one gives no rows."""
+    from echoloom.streaming import digest, runs
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    raw = T.raw_columns(runs.stream_parquet(spark, str(tmp_path), "documents.parquet"))
+    assert runs.run_available(raw.select("id")).count() == docs.count()
+    got = ingest.run_ingest(raw).select("raw_feedback_id", "language")
+    want = ingest.run_ingest(T.raw_columns(runs.stream_parquet(spark, SF, "documents.parquet"))).select("raw_feedback_id", "language")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 0
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    nothing = runs.stream_parquet(spark, str(tmp_path / "none"), "documents.parquet")
+    assert ingest.run_ingest(T.raw_columns(nothing)).count() == 0
+    assert digest.run_counts(T.raw_columns(nothing), "timestamp", "1 day").count() == 0
