@@ -16,24 +16,52 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Events that a rule takes at a step, and that one element of a waiting list holds.
+PIECE = 50_000
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """Times of the timed rows, and ids of the timed rows followed by those of the others; nothing else of a batch is held."""
+    times, ids, untimed = [], [], []
+    for batch in batches:
+        known = batch["time"].notna().to_numpy()
+        times.append(batch["time"].to_numpy()[known].astype(np.int64))
+        ids.append(batch["id"].to_numpy()[known])
+        if not known.all():
+            untimed.append(batch["id"].to_numpy()[~known])
+    return (np.concatenate(times) if times else np.zeros(0, np.int64)), np.concatenate([*ids, *untimed]) if ids else np.zeros(0)
+
+
+def _pieces(times: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the events in order of time and id, PIECE at a time."""
+    ids = ids[: len(times)]
+    plain = ids.dtype != object
+    order = np.lexsort((ids, times)) if plain else pd.DataFrame({"time": times, "id": ids}).sort_values(["time", "id"]).index.to_numpy()
+    for lo in range(0, len(order), PIECE):
+        yield order[lo : lo + PIECE]
 
 
 def admit_stream(events: DataFrame, key: str, time: str, id_col: str, rule) -> DataFrame:
     """(key, id, admitted) per event, the same rules as the batch operator.
 
     Between micro-batches only the rule's state is kept (at most `limit` times per key).
-    Within one, a key's rows are taken in time order; the source's trigger size bounds them.
+    Within one, a key's rows are taken in time order: a task holds the time and id of each and goes through them
+    in pieces; the source's trigger size bounds them. Events without a time are not admitted.
     """
     rows = events.select(
         F.col(key).cast("string").alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("time"), F.col(id_col).alias("id")
     )
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["time", "id"])
-        start = list(state.get[0]) if state.exists else []
-        flags, end = rule.step(start, pdf["time"].to_numpy())
+        end = list(state.get[0]) if state.exists else []
+        times, ids = _gathered(batches)
+        timed = len(times)
+        for part in _pieces(times, ids):
+            flags, end = rule.step(end, times[part])
+            yield pd.DataFrame({"key": group[0], "id": ids[part], "admitted": flags})
+        for lo in range(timed, len(ids), PIECE):  # events without a time
+            yield pd.DataFrame({"key": group[0], "id": ids[lo : lo + PIECE], "admitted": False})
         state.update((end,))
-        yield pd.DataFrame({"key": group[0], "id": pdf["id"].to_numpy(), "admitted": flags})
 
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.groupBy("key").applyInPandasWithState(
@@ -45,8 +73,9 @@ def admit_stream(events: DataFrame, key: str, time: str, id_col: str, rule) -> D
 class _Ordered(StatefulProcessor):
     """Events wait in a list until the watermark has passed them; then the rule takes them in order of time and id.
 
-    The list holds what came in the last `delay` of event time, the value the rule's state. A timer at the
-    earliest waiting event wakes the key, and one at the end of its state clears it.
+    The list holds what came in the last `delay` of event time, many events an element, the values the time of the
+    earliest and the rule's state. The list is read only when the watermark has passed the earliest. A timer there
+    wakes the key, and one at the end of its state clears it.
     """
 
     def __init__(self, rule, kind: str):
@@ -54,33 +83,47 @@ class _Ordered(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"time bigint, id {self.kind}")
+        self.waiting = handle.getListState("waiting", f"time array<bigint>, id array<{self.kind}>")
+        self.earliest = handle.getValueState("earliest", "time bigint")
         self.held = handle.getValueState("held", "state array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        least = self.earliest.get()[0] if self.earliest.exists() else None
+        came = []
         for frame in rows:
-            self.waiting.appendList(list(zip(frame["time"].tolist(), frame["id"].tolist())))
-        yield from self._judged(key, timerValues)
+            self.waiting.appendValue((frame["time"].tolist(), frame["id"].tolist()))
+            came.append(int(frame["time"].min()))
+        if came and (least is None or min(came) < least):
+            self.earliest.update((min(came),))
+            yield from self._judged(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._judged(key, timerValues)
 
     def _judged(self, key, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        every = sorted(tuple(r) for r in self.waiting.get())
-        due, later = [r for r in every if r[0] < passed], [r for r in every if r[0] >= passed]
+        least = self.earliest.get()[0] if self.earliest.exists() else None
         state = list(self.held.get()[0]) if self.held.exists() else []
-        if due:
-            flags, state = self.rule.step(state, np.array([t for t, _ in due], dtype=np.int64))
-            yield pd.DataFrame({"key": [key[0]] * len(due), "id": [i for _, i in due], "admitted": flags})
-            self.waiting.put(later) if later else self.waiting.clear()
-        if state and not later and self.rule.over(state) < passed:
+        if least is not None and least < passed:
+            times, ids = _gathered(pd.DataFrame({"time": t, "id": i}) for t, i in self.waiting.get())
+            due = times < passed
+            later, late_ids, times, ids = times[~due], ids[~due], times[due], ids[due]
+            for part in _pieces(times, ids):
+                flags, state = self.rule.step(state, times[part])
+                yield pd.DataFrame({"key": key[0], "id": ids[part], "admitted": flags})
+            least = int(later.min()) if len(later) else None
+            if least is None:
+                self.waiting.clear()
+                self.earliest.clear()
+            else:
+                self.waiting.put([(later[lo : lo + PIECE].tolist(), late_ids[lo : lo + PIECE].tolist()) for lo in range(0, len(later), PIECE)])
+                self.earliest.update((least,))
+            self.held.update((state,))
+        if state and least is None and self.rule.over(state) < passed:
             self.held.clear()
             return
-        if due:
-            self.held.update((state,))
         # a timer is over when the watermark is past it, in whole milliseconds
-        wake = later[0][0] if later else self.rule.over(state) if state else None
+        wake = least if least is not None else self.rule.over(state) if state else None
         if wake is not None:
             self.handle.registerTimer(max(wake // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
 

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from echoloom.operators import limits as L
@@ -170,3 +171,77 @@ def test_events_out_of_order_get_the_answers_of_the_batch(spark, tmp_path, rule)
     stream = spark.readStream.schema("id int, key string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(landed))
     got = {r["id"]: r["admitted"] for r in run_available(admit_ordered(stream, "key", "ts", "id", rule, "60 minutes")).collect()}
     assert {i: a for i, a in got.items() if i < 9000} == sequential(rows, rule) and 9001 not in got
+
+
+class _Handle:
+    """The state of one key, as a stateful processor sees it; counts how often the waiting list is read."""
+
+    def __init__(self):
+        self.rows, self.values, self.reads, self.timers = [], {}, 0, set()
+
+    def getListState(self, name, schema):
+        self.appendValue, self.clear = self.rows.append, self.rows.clear
+        return self
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows[:] = rows
+
+    def get(self):
+        self.reads += 1
+        return iter(list(self.rows))
+
+    def getValueState(self, name, schema):
+        held = self.values
+
+        class Value:
+            exists = staticmethod(lambda: name in held)
+            get = staticmethod(lambda: held[name])
+            update = staticmethod(lambda value: held.__setitem__(name, value))
+            clear = staticmethod(lambda: held.pop(name, None))
+
+        return Value
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_ordered_admission_reads_its_waiting_list_when_events_are_due():
+    import types
+
+    import pandas as pd
+
+    from echoloom.streaming import admission
+
+    rng, rule = np.random.default_rng(5), L.Cooldown(300)
+    times = rng.integers(0, 40_000, 600) * L.SECOND
+    handle, judge = _Handle(), admission._Ordered(rule, "bigint")
+    judge.init(handle)
+    at = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    for lo in range(0, 600, 20):  # 30 frames while the watermark stands still
+        assert not list(judge.handleInputRows(("k",), iter([pd.DataFrame({"time": times[lo : lo + 20], "id": np.arange(lo, lo + 20)})]), at(0)))
+    assert handle.reads == 0
+    got = pd.concat([f for ms in (10_000_000, 10_000_000, 40_000_000) for f in judge.handleExpiredTimer(("k",), at(ms), None)])
+    assert handle.reads == 2 and handle.timers
+    order = np.lexsort((np.arange(600), times))
+    flags, _ = rule.step([], times[order])
+    assert got["id"].tolist() == order.tolist() and got["admitted"].tolist() == flags.tolist()
+
+
+@pytest.mark.parametrize("rule", [L.Cooldown(300), L.HourlyCap(2), L.SlidingLog(2, 3600)], ids=str)
+def test_stream_in_pieces_and_without_times(spark, tmp_path, monkeypatch, rule):
+    """A key's rows of a batch are judged piece by piece as at once; events without a time are not admitted."""
+    from echoloom.streaming import admission
+
+    monkeypatch.setattr(admission, "PIECE", 7)
+    rng = np.random.default_rng(3)
+    moments = (np.datetime64("2024-01-01T00:00:00", "us") + rng.integers(0, 90_000, 100).astype("timedelta64[s]")).tolist()
+    rows = [(i, "k", None if i % 10 == 9 else t) for i, t in enumerate(moments)]
+    events = spark.createDataFrame(rows, "id int, key string, ts timestamp_ntz")
+    events.coalesce(1).write.parquet(str(tmp_path / "landed"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "landed"))
+    got = {r["id"]: r["admitted"] for r in run_available(admit_stream(stream, "key", "ts", "id", rule)).collect()}
+    want = {r["id"]: r["admitted"] for r in L.admit(events, "key", "ts", "id", rule).collect()}
+    assert got == want and len(got) == 100
