@@ -55,18 +55,22 @@ def user_segment(author: Column) -> Column:
     return F.when(author.isNull() | (author == ""), "unknown").otherwise(known)
 
 
-def feedback_quality(body: Column) -> Column:
-    """Level by the number of quality words, less 2 under 10 words, plus 1 over 100."""
+def quality_points(text: Column, count: Column) -> Column:
+    """Points of a lower-cased text of `count` words: quality words, less 2 under 10 words, plus 1 over 100."""
+    total = F.when(count < 10, -2).when(count > 100, 1).otherwise(0)
+    for word in K.QUALITY_WORDS:
+        total = total + text.contains(word).cast("int")
+    return total
+
 
-    def points(text: Column, count: Column) -> Column:
-        total = F.when(count < 10, -2).when(count > 100, 1).otherwise(0)
-        for word in K.QUALITY_WORDS:
-            total = total + text.contains(word).cast("int")
-        return total
+def quality_level(text: Column, points: Column) -> Column:
+    return F.when(text == "", "low").when(points >= 3, "high").when(points >= 1, "medium").otherwise("low")
 
-    level = lambda p: F.when(p >= 3, "high").when(p >= 1, "medium").otherwise("low")
-    judged = lambda text: let(word_count(text), lambda count: let(points(text, count), level))
-    return let(F.lower(text_or_empty(body)), lambda text: F.when(text == "", "low").otherwise(judged(text)))
+
+def feedback_quality(body: Column) -> Column:
+    """Level by the number of quality words, less 2 under 10 words, plus 1 over 100."""
+    judged = lambda text: let(quality_points(text, word_count(text)), lambda p: quality_level(text, p))
+    return let(F.lower(text_or_empty(body)), judged)
 
 
 def cluster_quality(similarity: Column, coherence: Column, diversity: Column) -> Column:
@@ -79,15 +83,20 @@ def amplification(size: Column, quality: Column, min_size: int = 2, factor: floa
     return F.when(size < min_size, 1.0).otherwise(grown)
 
 
-def urgency_indicators(title: Column, body: Column) -> Column:
+def urgency_text(title: Column, body: Column) -> Column:
+    return F.lower(F.concat_ws(" ", text_or_empty(title), text_or_empty(body)))
+
 
-    def found(text: Column) -> Column:
-        words = [F.when(text.contains(w), F.lit(w)) for w in K.URGENCY_WORDS]
-        # "." stays on one line; a line ends at a line feed only
-        patterns = [F.when(text.rlike("(?d)" + p), F.lit("pattern: " + p)) for p in K.URGENCY_PATTERNS]
-        return compact(*words, *patterns)
+def urgency_found(text: Column) -> Column:
+    """Indicators in a lower-cased text."""
+    words = [F.when(text.contains(w), F.lit(w)) for w in K.URGENCY_WORDS]
+    # "." stays on one line; a line ends at a line feed only
+    patterns = [F.when(text.rlike("(?d)" + p), F.lit("pattern: " + p)) for p in K.URGENCY_PATTERNS]
+    return compact(*words, *patterns)
 
-    return let(F.lower(F.concat_ws(" ", text_or_empty(title), text_or_empty(body))), found)
+
+def urgency_indicators(title: Column, body: Column) -> Column:
+    return let(urgency_text(title, body), urgency_found)
 
 
 def urgency_boost(indicators: Column) -> Column:

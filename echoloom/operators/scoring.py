@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from echoloom import constants as K
 from echoloom.functions import scores as S
+from echoloom.functions.text import compute_once, text_or_empty, word_count
 
 
 def scorable(docs: DataFrame, scores: DataFrame) -> DataFrame:
@@ -90,6 +91,28 @@ def cluster_stats(docs: DataFrame, memberships: DataFrame) -> DataFrame:
     )
 
 
+def text_facts(docs: DataFrame) -> DataFrame:
+    """`feedback_quality` and `urgency` in place of the body.
+
+    Each step is a column of its own: a value that many expressions use is computed once, in generated code.
+    """
+    df = compute_once(docs, "__body", F.lower(text_or_empty(F.col("body"))))
+    df = compute_once(df, "__words", word_count(F.col("__body")))
+    df = compute_once(df, "__points", S.quality_points(F.col("__body"), F.col("__words")))
+    df = compute_once(df, "feedback_quality", S.quality_level(F.col("__body"), F.col("__points")))
+    df = compute_once(df, "__all", S.urgency_text(F.col("title"), F.col("body")))
+    df = compute_once(df, "urgency", S.urgency_found(F.col("__all")))
+    return df.drop("body", "__body", "__words", "__points", "__all")
+
+
+def with_cluster(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Left join on `cluster_id`; documents without a cluster are dealt over all tasks by their id."""
+    deal = F.when(F.col("cluster_id").isNull(), 1 + F.pmod(F.xxhash64("id"), F.lit(1 << 20))).otherwise(F.lit(0).cast("bigint"))
+    left = docs.withColumn("__key", F.struct(F.col("cluster_id").alias("c"), deal.alias("deal")))
+    right = facts.withColumn("__key", F.struct(F.col("cluster_id").alias("c"), F.lit(0).cast("bigint").alias("deal"))).drop("cluster_id")
+    return left.join(right, "__key", "left").drop("__key")
+
+
 def score_documents(
     docs: DataFrame,
     stats: DataFrame | None,
@@ -103,10 +126,10 @@ def score_documents(
 ) -> DataFrame:
     """One score row per document; cluster statistics join on `cluster_id`."""
     w = S.normalized(weights or K.WEIGHTS)
-    df = docs
+    df = text_facts(docs)  # before the join: the bodies stay where they are read
     if stats is not None:
         facts = stats.select("cluster_id", F.col("size").alias("cluster_size"), F.col("quality").alias("cluster_quality"))
-        df = df.join(facts, "cluster_id", "left")
+        df = with_cluster(df, facts)
     else:
         df = df.withColumn("cluster_size", F.lit(None).cast("bigint")).withColumn("cluster_quality", F.lit(None).cast("double"))
     value = F.col("user_value") if "user_value" in df.columns else F.lit(None).cast("double")
@@ -116,8 +139,6 @@ def score_documents(
             "severity": F.coalesce(F.col(severity_col), F.lit("low")),
             "user_segment": S.user_segment(F.col("author")),
             "user_count": F.coalesce("cluster_size", F.lit(1)),
-            "feedback_quality": S.feedback_quality(F.col("body")),
-            "urgency": S.urgency_indicators(F.col("title"), F.col("body")),
         }
     )
     severity_value = S.severity_score(F.col("severity"))

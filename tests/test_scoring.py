@@ -83,3 +83,34 @@ def test_coherence_equals_the_pair_definition(spark):
         diffs = [abs((a - b).total_seconds()) for a, b in itertools.product(times, times) if a != b]
         want = 0.5 if len(times) < 2 else max(0, 1 - (sum(diffs) / len(diffs) if diffs else 0) / 86400)
         assert got[c] == pytest.approx(want)
+
+
+def test_documents_without_cluster_are_scored_in_all_tasks(spark):
+    """They have one join key, NULL, and used to meet in one task; the others keep their cluster's facts."""
+    rows = [(i, None if i < 400 else i % 3, "t", "slow page" if i else None, "bob") for i in range(430)]
+    docs = spark.createDataFrame(rows, "id int, cluster_id int, title string, body string, author string").selectExpr(
+        "*", "timestamp_ntz '2024-01-01' AS timestamp", "'ui' AS component", "'bug' AS feedback_type", "'low' AS severity"
+    )
+    stats = spark.createDataFrame([(0, 20, 0.5), (1, 30, 1.0), (None, 99, 1.0)], "cluster_id int, size bigint, quality double")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = scoring.score_documents(docs, stats, F.lit(datetime(2024, 1, 2))).select("document_id", "cluster_id", "cluster_amplification", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert len(out) == 430 and all(r["cluster_id"] == rows[r["document_id"]][1] for r in out)
+    want = {None: 1.0, 0: 2.9 * 0.5, 1: 3.9, 2: 1.0}
+    assert all(r["cluster_amplification"] == pytest.approx(want[r["cluster_id"]]) for r in out)
+    tasks = [r["task"] for r in out if r["cluster_id"] is None]
+    assert max(tasks.count(t) for t in set(tasks)) < 250
+
+
+def test_large_tables_get_tasks_of_bounded_size(spark):
+    from echoloom.plans import tables as T
+
+    rows = spark.range(1000).coalesce(1)
+    slots = spark.sparkContext.defaultParallelism
+    assert T.spread(rows).rdd.getNumPartitions() == slots and T.spread(rows, 10).rdd.getNumPartitions() == 100
+    assert T.spread(rows, 10_000).rdd.getNumPartitions() == slots
