@@ -4,9 +4,10 @@ Density clustering needs all pairs within a radius, but never lists them. Vector
 of cells: a cell of more than BLOCK_ROWS vectors is split around FANOUT of them, and its parts again. Two
 leaves meet only if on every level above them the triangle inequality lets their cells come
 close enough. A leaf no wider than the radius needs no comparison inside: all its vectors are neighbours,
-so counts and links follow from its size. Leaves are cut into blocks, and a task compares two
-blocks with one matrix product. It returns neighbour counts and a spanning forest of its
-neighbour graph, so its output is linear in the block whatever the number of close pairs;
+so counts and links follow from its size. Leaves are cut into blocks, and two
+blocks are compared with one matrix product. Blocks are dealt to groups, and a tile takes all block pairs of two groups,
+so a vector travels once for each group that holds a partner of its block. A tile returns neighbour counts and a spanning forest of its
+neighbour graph, so its output is linear in its rows whatever the number of close pairs;
 the union of the forests has the same connected parts as the whole graph. Equal vectors
 are merged before anything is compared.
 """
@@ -34,6 +35,9 @@ BLOCK_ROWS = 2048
 #: Parts of a cell that is split, and levels of splitting at most; what is still too large then is compared block by block.
 FANOUT = 16
 DEPTH = 24
+#: Groups that the blocks are dealt to, and blocks of a group; more blocks make more groups.
+GROUPS = 16
+GROUP_BLOCKS = 64
 #: Links that one task joins at once.
 LINKS_PER_TASK = 200_000
 
@@ -181,7 +185,7 @@ def _near_leaves(nodes: DataFrame, radius: float) -> DataFrame:
 
 
 def _blocks(vectors: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(placed, pairs, narrow): vectors with cell and block, block pairs to compare, and leaves no wider than the radius."""
+    """(placed, pairs, narrow): vectors with cell and block, block pairs to compare with their tile, and leaves no wider than the radius."""
     placed, nodes = _cells(vectors, radius)
     # rounding of the distances must not decide
     leaves = nodes.where("leaf").select("cell", "total", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("parts"), (2 * F.col("far") <= radius - 1e-6).alias("narrow"))
@@ -193,68 +197,108 @@ def _blocks(vectors: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, Da
     near = near.where(~(same & F.col("narrow1"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts1") - 1)))
     near = near.withColumn("y", F.explode(F.sequence(F.when(same, F.col("x")).otherwise(0), F.col("parts2") - 1)))
     pairs = near.select(F.concat_ws("_", "left", "x").alias("left"), F.concat_ws("_", "right", "y").alias("right"))
+    blocks = leaves.agg(F.sum("parts")).first()[0] or 0
+    groups = F.lit(max(GROUPS, -(-blocks // GROUP_BLOCKS)))
+    one, two = F.pmod(F.xxhash64("left"), groups), F.pmod(F.xxhash64("right"), groups)
+    pairs = pairs.withColumn("tile", F.concat_ws("|", F.least(one, two), F.greatest(one, two))).checkpoint()  # read four times
     return placed, pairs, leaves.where("narrow").select("cell", "total")
 
 
-def _tiles(placed: DataFrame, near: DataFrame) -> DataFrame:
-    """Each vector once per block pair it takes part in."""
-    tile = F.concat_ws("|", "left", "right")
-    ends = near.select(tile.alias("tile"), F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+def _tiles(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each vector once per tile that its block takes part in."""
+    ends = pairs.select("tile", F.explode(F.array("left", "right")).alias("block")).distinct()
     return placed.join(ends, "block")
 
 
-def _forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of a small boolean adjacency matrix."""
-    n = len(adjacent)
-    left = np.ones(n, dtype=bool)
-    out = []
-    for start in range(n):
-        if not left[start]:
-            continue
-        left[start] = False
-        stack = [start]
-        while stack:
-            at = stack.pop()
-            fresh = np.flatnonzero(adjacent[at] & left)
-            left[fresh] = False
-            out += [(at, int(x)) for x in fresh]
-            stack += fresh.tolist()
-    return out
-
-
-def _neighbour_table(tiles: DataFrame, eps: float, id_kind: str, core: bool) -> DataFrame:
+class _Parts:
+    """Connected parts of a tile's rows."""
+
+    def __init__(self, size: int):
+        self.parent = np.arange(size)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        found = self.parent[rows]
+        while True:
+            up = self.parent[found]
+            if (up == found).all():
+                self.parent[rows] = found
+                return found
+            found = up
+
+    def link(self, close: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Links of `close` (rows `left` by rows `right`) that join different parts."""
+        a, b = self.of(left), self.of(right)
+        out = []
+        for i, row in enumerate(close if len(right) else []):
+            while True:
+                fresh = row & (b != a[i])
+                at = int(fresh.argmax())
+                if not fresh[at]:
+                    break
+                old, new = b[at], a[i]
+                self.parent[old] = new
+                a[a == old] = new
+                b[b == old] = new
+                out.append((left[i], right[at]))
+        return out
+
+
+def _neighbour_table(placed: DataFrame, pairs: DataFrame, eps: float, id_kind: str, core: bool) -> DataFrame:
     """Per tile: close counts (core=False), or forest edges among core and their borders (core=True)."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = key[0].split("|")
-        m = np.array(pdf["v"].tolist())
-        close = 1 - m @ m.T <= eps + 1e-12
-        if left != right:  # pairs inside one block belong to that block's own tile
-            inside = (pdf["block"] == left).to_numpy()
-            close &= inside[:, None] != inside[None, :]
-        np.fill_diagonal(close, False)
-        ids = pdf["id"].to_numpy()
+    def run(rows: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"a": [], "b": [], "both": []} if core else {"id": [], "near": []})
+        ids, m = rows["id"].to_numpy(), np.array(rows["v"].tolist())
+        mine = {block: np.asarray(at) for block, at in rows.groupby("block").indices.items()}
+        # pairs inside one block first: they join most rows
+        wanted = sorted(zip(todo["left"], todo["right"]), key=lambda p: p[0] != p[1])
+
+        def close(left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
+            near = 1 - m[left] @ m[right].T <= eps + 1e-12
+            if same:
+                np.fill_diagonal(near, False)
+            return near
+
         if not core:
-            weights = pdf["n"].to_numpy()
-            return pd.DataFrame({"id": ids, "near": (close * weights).sum(axis=1).astype(np.int64)})
-        flags = pdf["core"].to_numpy()
-        edges = _forest(close & flags[:, None] & flags[None, :])
-        rows = [(ids[a], ids[b], True) for a, b in edges]
-        for at in np.flatnonzero(~flags):  # a border row needs its least core neighbour only
-            cores = np.flatnonzero(close[at] & flags)
-            if len(cores):
-                rows.append((ids[at], min(ids[cores]), False))
-        return pd.DataFrame(rows, columns=["a", "b", "both"])
+            weights, near = rows["n"].to_numpy().astype(float), np.zeros(len(rows))
+            for x, y in wanted:
+                left, right = mine[x], mine[y]
+                met = close(left, right, x == y).astype(float)
+                near[left] += met @ weights[right]
+                if x != y:
+                    near[right] += weights[left] @ met
+            return pd.DataFrame({"id": ids, "near": near.astype(np.int64)})
+        flags, parts, edges, heads = rows["core"].to_numpy(dtype=bool), _Parts(len(rows)), [], {}
+        for x, y in wanted:
+            left, right = mine[x], mine[y]
+            ends = np.concatenate([left, right])
+            # rows that are all core and joined already have nothing to add
+            if flags[ends].all() and len(np.unique(parts.of(ends))) == 1:
+                continue
+            met = close(left, right, x == y)
+            cl, cr = flags[left], flags[right]
+            edges += parts.link(met[np.ix_(cl, cr)], left[cl], right[cr])
+            # a border row needs its least core neighbour only
+            for one, two, table in [(left, right, met), (right, left, met.T)][: 1 if x == y else 2]:
+                for i in np.flatnonzero(~flags[one]):
+                    cores = two[table[i] & flags[two]]
+                    if len(cores):
+                        best = min(ids[cores])
+                        heads[one[i]] = min(best, heads.get(one[i], best))
+        found = [(ids[a], ids[b], True) for a, b in edges] + [(ids[a], head, False) for a, head in heads.items()]
+        return pd.DataFrame(found, columns=["a", "b", "both"])
 
     schema = f"id {id_kind}, near bigint" if not core else f"a {id_kind}, b {id_kind}, both boolean"
-    # a tile holds two blocks: at most about 2 · BLOCK_ROWS vectors
-    return tiles.groupBy("tile").applyInPandas(run, schema)
+    # a tile holds two groups of about GROUP_BLOCKS blocks at most
+    todo = pairs.select(F.col("tile").alias("place"), F.col("left"), F.col("right"))
+    return _tiles(placed, pairs).groupBy("tile").cogroup(todo.groupBy("place")).applyInPandas(run, schema)
 
 
 def _counts(placed: DataFrame, pairs: DataFrame, narrow: DataFrame, eps: float, kind: str) -> DataFrame:
     """(id, near): how many other vectors are close, `n` of each row counted."""
     inside = placed.join(narrow, "cell").select("id", (F.col("total") - F.col("n")).alias("near"))
-    counts = _neighbour_table(_tiles(placed, pairs), eps, kind, core=False).unionByName(inside)
+    counts = _neighbour_table(placed, pairs, eps, kind, core=False).unionByName(inside)
     return counts.groupBy("id").agg(F.sum("near").alias("near"))
 
 
@@ -356,7 +400,7 @@ def dbscan(vectors: DataFrame, eps: float = 0.3, min_samples: int = 2) -> DataFr
     kind = vectors.schema["id"].dataType.simpleString()
     counts = _counts(placed, pairs, narrow, eps, kind)
     flagged = placed.join(counts, "id", "left").withColumn("core", F.coalesce("near", F.lit(0)) + F.col("n") >= min_samples).drop("near").checkpoint()
-    tiles = _neighbour_table(_tiles(flagged, pairs), eps, kind, core=True)
+    tiles = _neighbour_table(flagged, pairs, eps, kind, core=True)
     # in a narrow leaf every vector is a neighbour of the least core one
     inside = flagged.join(narrow, "cell")
     heads = inside.where("core").groupBy("cell").agg(F.min("id").alias("head"))

@@ -37,6 +37,24 @@ def brute(rows, eps, min_samples):
     return out
 
 
+def test_a_vector_travels_once_a_group_of_blocks(spark, monkeypatch):
+    """Without structure every block meets every other; a vector used to travel once for each."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(C, "GROUPS", 3)
+    monkeypatch.setattr(C, "GROUP_BLOCKS", 1000)
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(160)]
+    df = spark.createDataFrame(rows, VEC)
+    unit = df.select("id", V.normalize(F.col("embedding")).alias("v"), F.lit(1).cast("bigint").alias("n"))
+    placed, pairs, _ = C._blocks(unit, 1.0)
+    assert pairs.count() > 400 and C._tiles(placed, pairs).count() <= 3 * 160
+    assert {r["id"]: r["label"] for r in C.dbscan(df, 0.1, 4).collect()} == brute(rows, 0.1, 4)
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = (1 - m @ m.T <= 0.1 + 1e-12).sum(axis=1) - 1
+    assert {r["id"]: r["neighbours"] for r in C.neighbour_counts(df, 0.1).collect()} == dict(enumerate(want.tolist()))
+
+
 def test_similarity_and_distances(one):
     arr = lambda *v: F.array(*[F.lit(float(x)) for x in v])
     row = one(a=arr(1, 0), b=arr(0, 1), z=arr(0, 0), p=arr(0, 0), q=arr(3, 4))
