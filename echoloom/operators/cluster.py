@@ -35,7 +35,7 @@ BLOCK_ROWS = 2048
 #: Parts of a cell that is split, and levels of splitting at most; what is still too large then is compared block by block.
 FANOUT = 16
 DEPTH = 24
-#: Groups that the blocks are dealt to, and blocks of a group; more blocks make more groups.
+#: Groups that the blocks are dealt to, and full blocks of a group; only more vectors than these hold make more groups.
 GROUPS = 16
 GROUP_BLOCKS = 64
 #: Links that one task joins at once.
@@ -92,14 +92,16 @@ def cached_embeddings(texts: DataFrame, cache: DataFrame) -> DataFrame:
 def _split(rows: DataFrame, wide: DataFrame, depth: int) -> DataFrame:
     """(id, v, n, cell, far, center) of the rows of the cells of `wide` (cell, rows), dealt to parts of them.
 
-    The FANOUT vectors of a cell with the least hashes are its pivots. They go to each of the tasks that share
-    the cell's rows; a row goes to the part of its nearest pivot.
+    The vectors of a cell with the least hashes are its pivots: FANOUT of them, or fewer where that many parts would be
+    small, since pairs of leaves grow with the square of their number. They go to each of the tasks that share the
+    cell's rows; a row goes to the part of its nearest pivot.
     """
     kind = rows.schema["id"].dataType.simpleString()
-    shared = wide.select("cell", F.ceil(F.col("rows") / (4 * BLOCK_ROWS)).cast("int").alias("tasks"))
+    parts = F.least(F.lit(FANOUT), F.ceil(2 * F.col("rows") / BLOCK_ROWS)).cast("int")
+    shared = wide.select("cell", F.ceil(F.col("rows") / (4 * BLOCK_ROWS)).cast("int").alias("tasks"), parts.alias("parts"))
     mine = rows.join(shared, "cell")  # few cells, large ones are split by adaptive execution
     least = W.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(depth)), "id")
-    pivots = mine.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= FANOUT)
+    pivots = mine.withColumn("rank", F.row_number().over(least)).where(F.col("rank") <= F.col("parts"))
     pivots = pivots.select("id", "v", "n", "cell", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
     dealt = mine.select("id", "v", "n", "cell", F.lit(1).alias("kind"), F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"))
     both = pivots.unionByName(dealt).repartition("cell", "task").sortWithinPartitions("cell", "task", "kind", "id")
@@ -188,7 +190,7 @@ def _blocks(vectors: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, Da
     """(placed, pairs, narrow): vectors with cell and block, block pairs to compare with their tile, and leaves no wider than the radius."""
     placed, nodes = _cells(vectors, radius)
     # rounding of the distances must not decide
-    leaves = nodes.where("leaf").select("cell", "total", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("parts"), (2 * F.col("far") <= radius - 1e-6).alias("narrow"))
+    leaves = nodes.where("leaf").select("cell", "rows", "total", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("parts"), (2 * F.col("far") <= radius - 1e-6).alias("narrow"))
     block = F.concat_ws("_", F.col("cell"), F.pmod(F.xxhash64("id"), F.col("parts")))
     placed = placed.join(leaves, "cell").select("id", "v", "n", "cell", block.alias("block"))
     ends = lambda s, name: leaves.select(F.col("cell").alias(name), F.col("parts").alias(f"parts{s}"), F.col("narrow").alias(f"narrow{s}"))
@@ -197,8 +199,8 @@ def _blocks(vectors: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, Da
     near = near.where(~(same & F.col("narrow1"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts1") - 1)))
     near = near.withColumn("y", F.explode(F.sequence(F.when(same, F.col("x")).otherwise(0), F.col("parts2") - 1)))
     pairs = near.select(F.concat_ws("_", "left", "x").alias("left"), F.concat_ws("_", "right", "y").alias("right"))
-    blocks = leaves.agg(F.sum("parts")).first()[0] or 0
-    groups = F.lit(max(GROUPS, -(-blocks // GROUP_BLOCKS)))
+    rows = leaves.agg(F.sum("rows")).first()[0] or 0
+    groups = F.lit(max(GROUPS, -(-rows // (GROUP_BLOCKS * BLOCK_ROWS))))
     one, two = F.pmod(F.xxhash64("left"), groups), F.pmod(F.xxhash64("right"), groups)
     pairs = pairs.withColumn("tile", F.concat_ws("|", F.least(one, two), F.greatest(one, two))).checkpoint()  # read four times
     return placed, pairs, leaves.where("narrow").select("cell", "total")
@@ -290,7 +292,7 @@ def _neighbour_table(placed: DataFrame, pairs: DataFrame, eps: float, id_kind: s
         return pd.DataFrame(found, columns=["a", "b", "both"])
 
     schema = f"id {id_kind}, near bigint" if not core else f"a {id_kind}, b {id_kind}, both boolean"
-    # a tile holds two groups of about GROUP_BLOCKS blocks at most
+    # a tile holds the vectors of about 2 * GROUP_BLOCKS full blocks at most
     todo = pairs.select(F.col("tile").alias("place"), F.col("left"), F.col("right"))
     return _tiles(placed, pairs).groupBy("tile").cogroup(todo.groupBy("place")).applyInPandas(run, schema)
 

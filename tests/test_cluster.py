@@ -164,3 +164,17 @@ def test_clusters_of_string_ids(spark):
     assert {r["id"]: r["label"] for r in C.dbscan(text, 0.3).collect()} == {"id-1": "id-1", "id-2": "id-1", "id-3": "-1", "id-4": "-1"}
     labelled = C.dbscan(text, 0.3).join(text, "id")
     assert [(r["label"], r["members"]) for r in C.centroids(labelled).collect()] == [("id-1", 2)]
+
+
+def test_fewer_parts_and_groups_for_few_vectors(spark, monkeypatch):
+    """A cell little above the size of a block makes few leaves, and small leaves make no groups of their own."""
+    monkeypatch.setattr(C, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(C, "GROUPS", 2)
+    monkeypatch.setattr(C, "GROUP_BLOCKS", 2)
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(100, 8))
+    rows = [(i, [float(x) for x in v / np.linalg.norm(v)], 1) for i, v in enumerate(m)]
+    unit = spark.createDataFrame(rows, "id bigint, v array<double>, n bigint")
+    placed, pairs, _ = C._blocks(unit, 1.1)
+    assert placed.count() == 100 and placed.select("cell").distinct().count() < C.FANOUT
+    assert pairs.select("tile").distinct().count() <= 3
