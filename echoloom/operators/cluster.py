@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -40,6 +41,8 @@ GROUPS = 16
 GROUP_BLOCKS = 64
 #: Links that one task joins at once.
 LINKS_PER_TASK = 200_000
+#: Starts of k-means that are fitted at a time.
+TRIES_AT_ONCE = 4
 
 
 # --- embeddings ------------------------------------------------------------------------
@@ -418,9 +421,16 @@ def dbscan(vectors: DataFrame, eps: float = 0.3, min_samples: int = 2) -> DataFr
 
 
 def kmeans(vectors: DataFrame, k: int = 5, seed: int = 42, tries: int = 10, max_iter: int = 300) -> DataFrame:
-    """(id, label): the best of `tries` starts by cost."""
-    data = vectors.select("id", array_to_vector("embedding").alias("features")).persist()
-    models = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data) for i in range(tries)]
+    """(id, label): the best of `tries` starts by cost.
+
+    The rows are frozen, not persisted: each fit then holds them decoded, and a round does not read them again. A round
+    is a short job, so TRIES_AT_ONCE fits run at a time.
+    """
+    ensure_checkpoint_dir(vectors.sparkSession)
+    data = vectors.select("id", array_to_vector("embedding").alias("features")).checkpoint()
+    fit = lambda i: KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data)
+    with ThreadPoolExecutor(TRIES_AT_ONCE) as pool:
+        models = list(pool.map(fit, range(tries)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("id", F.col("prediction").alias("label"))
 

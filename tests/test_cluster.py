@@ -178,3 +178,27 @@ def test_fewer_parts_and_groups_for_few_vectors(spark, monkeypatch):
     placed, pairs, _ = C._blocks(unit, 1.1)
     assert placed.count() == 100 and placed.select("cell").distinct().count() < C.FANOUT
     assert pairs.select("tile").distinct().count() <= 3
+
+
+def test_kmeans_fits_frozen_rows_several_at_a_time(spark, monkeypatch):
+    import threading
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4) + 6 * (i % 3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    data = df.select("id", C.array_to_vector("embedding").alias("features"))
+    costs = [C.KMeans(k=3, seed=42 + i, maxIter=300).fit(data).summary.trainingCost for i in range(4)]
+    seen = []
+
+    class Spy(C.KMeans):
+        def fit(self, dataset):
+            seen.append((dataset.storageLevel.useMemory, threading.get_ident()))
+            return super().fit(dataset)
+
+    monkeypatch.setattr(C, "KMeans", Spy)
+    got = {r["id"]: r["label"] for r in C.kmeans(df, k=3, tries=4).collect()}
+    assert len(seen) == 4 and not any(held for held, _ in seen) and len({thread for _, thread in seen}) > 1
+    m = np.array([v for _, v in rows])
+    label = np.array([got[i] for i, _ in rows])
+    cost = sum(((m[label == k] - m[label == k].mean(axis=0)) ** 2).sum() for k in set(label))
+    assert abs(cost - min(costs)) < 1e-6
