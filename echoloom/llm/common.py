@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from echoloom.session import ensure_checkpoint_dir
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows to which a file of an intermediate table is worth its cost.
+FILE_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +28,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later readers see the same rows in the same partitions."""
-    ensure_checkpoint_dir(df.sparkSession)
+def frozen(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A reliable checkpoint: later readers see the same rows in the same partitions.
+
+    With `rows`, the rows that `df` comes from, neighbouring partitions go to one file: a file for FILE_ROWS of them,
+    or for each core. Hadoop's local file system starts two processes for every file, to set its mode.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     return df.checkpoint()
 
 

@@ -83,7 +83,7 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     its values must be met again. known are words a text must have in these places, anchor is one of them.
     """
     split = items.select("item_id", templates(F.col("raw")).alias("shapes"), values(F.col("raw")).alias("said"))
-    split = frozen(split.where(F.exists("said", lambda w: w != "")))
+    split = frozen(split.where(F.exists("said", lambda w: w != "")), items.count())
     whole = split.where(F.size("said") >= size).select("item_id", (F.size("said") - size + 1).alias("total"), "said", F.posexplode("shapes").alias("set", "shape"))
     whole = whole.select("item_id", "total", "set", "said", "shape", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("at"))
     whole = whole.select("item_id", "total", "set", "at", F.slice("shape", F.col("at") + 1, size).alias("shape"), F.slice("said", F.col("at") + 1, size).alias("all"))
@@ -204,7 +204,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, si
     rows with a NULL doc_id are documents of their own and reported as NULL.
     """
     listed = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), spaced(F.col("text")).alias("raw"))
-    parts = frozen(item_windows(listed.groupBy("raw").agg(F.min("item_id").alias("item_id")), size))
+    parts = item_windows(listed.groupBy("raw").agg(F.min("item_id").alias("item_id")), size)
+    parts = frozen(parts, parts.count())
     sizes = sorted(r[0] for r in parts.where("set = 2").select(F.size("said")).distinct().collect())  # fewer than `size` numbers
     wanted = parts.select("item_id", "total", "set", "at", "hash", F.col("said").alias("theirs"), "strict")
     if parts.count() <= block:
@@ -221,11 +222,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, si
 
     # windows of one alignment (place in the text less place in the item) are one copy of the item
     key = ["doc_id", "row", "item_id", "total", "set"]
-    least = F.col("total") * coverage
+    least, found = F.col("total") * coverage, hits.count()
     shifts = hits.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"), F.collect_set("pairs").alias("pairs"))
-    shifts = frozen(shifts.withColumn("pairs", F.array_sort(F.array_distinct(F.flatten("pairs")))).where(_consistent(F.col("pairs"))))
+    shifts = frozen(shifts.withColumn("pairs", F.array_sort(F.array_distinct(F.flatten("pairs")))).where(_consistent(F.col("pairs"))), found)
     alone = shifts.where(F.size("ats") >= least).select(*key, _judged(F.col("ats"), F.col("pairs")).alias("best"))
-    alone = frozen(alone.groupBy(*key).agg(F.max("best").alias("best")))
+    alone = frozen(alone.groupBy(*key).agg(F.max("best").alias("best")), found)
     # texts with words put in or left out: runs of alignments, or the first places of all windows
     settled = alone.where("best.same").select(*[F.col(c).alias(f"__{c}") for c in key])
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])

@@ -396,8 +396,8 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, width: int =
     sketch_type = "doc_id long, digest long, n long, key binary, prefix array<long>, band int, sig binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
     sketched = frozen(rows.mapInArrow(_sketch(width, percent, PREFIX), sketch_type)).withColumn("rid", F.monotonically_increasing_id())
-    full = sketched.where("n > 0")
-    heads = frozen(full.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc"), F.min_by(F.struct("doc_id", "digest"), "rid").alias("spot")))
+    full, rows_in = sketched.where("n > 0"), sketched.count()
+    heads = frozen(full.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc"), F.min_by(F.struct("doc_id", "digest"), "rid").alias("spot")), rows_in)
     classes = full.join(heads.select("rid"), "rid")
 
     # roots: prefix tokens of two classes or more, one for each set of members
@@ -406,34 +406,34 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, width: int =
         F.count("*").alias("count"), F.bit_xor(F.xxhash64("rid")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(7), "rid")).alias("m2"),
     ).where("count > 1")
     roots = marks.groupBy("count", "m1", "m2").agg(F.min("root").alias("root")).select("root")
-    members = frozen(postings.join(roots, "root").select("root", "rid", "band"))
-    leaf_pairs = frozen(_leaf_pairs(members))
+    members = frozen(postings.join(roots, "root").select("root", "rid", "band"), rows_in)
+    leaf_pairs = frozen(_leaf_pairs(members), rows_in)
 
     under = members.groupBy("rid").agg(F.collect_list("root").alias("roots"))  # at most PREFIX
-    hung = frozen(classes.select("rid", "n", "sig").join(under, "rid"))
+    hung = frozen(classes.select("rid", "n", "sig").join(under, "rid"), rows_in)
     alone = hung.withColumn("grp", F.lit(-1).cast("long"))
-    first = frozen(_search(leaf_pairs, alone, percent, full=False))
+    first = frozen(_search(leaf_pairs, alone, percent, full=False), rows_in)
     tried = first.where("a is not null").select("a", "b").distinct()
     ends = tried.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     # whole texts of the classes that have a candidate, read once for both rounds; ids may be NULL or repeat, so a
     # class's text is found by its digest as well, and no row meets two classes
     wanted = ends.join(heads, "rid").select("rid", F.col("spot.doc_id").alias("__doc"), F.col("spot.digest").alias("__digest"), "key")
     theirs = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("digest") == F.col("__digest"))).select("rid", "key", "text")
-    texts = frozen(theirs.mapInArrow(_keyed(width), "rid long, text string").groupBy("rid").agg(F.first("text").alias("text")))
+    texts = frozen(theirs.mapInArrow(_keyed(width), "rid long, text string").groupBy("rid").agg(F.first("text").alias("text")), rows_in)
 
     def checked(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
         both = with_a.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(_exact(width, percent), "a long, b long")
 
-    links = frozen(checked(tried))
+    links = frozen(checked(tried), rows_in)
     grouped = linked(links)
     dense = first.where("a is null").select("root", "leaf_a", "leaf_b").distinct()
     if not dense.isEmpty():
         labelled = hung.join(grouped.withColumnRenamed("id", "rid"), "rid", "left").withColumn("grp", F.coalesce("component", "rid"))
         again = _search(leaf_pairs.join(dense, ["root", "leaf_a", "leaf_b"]), labelled, percent, full=True)
         rest = again.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        links = frozen(links.unionByName(checked(rest)))
+        links = frozen(links.unionByName(checked(rest)), rows_in)
         grouped = linked(links)
 
     # the class of every row, the component of every class, the smallest doc_id of every component

@@ -109,7 +109,8 @@ def drop_boilerplate(
     NULL; repeated rows are pages of their own. With `dropped`, a column of that name counts the
     lines taken out, in place of one that `pages` may have. For `steps` see `boilerplate`.
     """
-    found = frozen(boilerplate(pages, host, text, ratio, min_pages, steps))
+    rows_in = pages.count()
+    found = frozen(boilerplate(pages, host, text, ratio, min_pages, steps), rows_in)
     bad, key, number = spare(pages, "bad_lines"), spare(pages, "bad_host"), dropped or spare(pages, "dropped_lines")
     shared = found.where(F.col("limit") > 0) if steps else found
     lists = shared.groupBy("host").agg(F.collect_set("h").alias(bad)).withColumnRenamed("host", key)
@@ -119,7 +120,7 @@ def drop_boilerplate(
     free = [least for least, lower in steps if lower <= 0]
     if free:
         more, own, page = spare(pages, "page_lines"), spare(pages, "page_host"), spare(pages, "page_key")
-        held = frozen(_page_lists(pages, host, text, found.where(F.col("limit") <= 0), min(free)))
+        held = frozen(_page_lists(pages, host, text, found.where(F.col("limit") <= 0), min(free)), rows_in)
         lists = held.select(F.col("host").alias(own), F.col("page").alias(page), F.col("lines").alias(more))
         if (held.agg(F.sum(F.size("lines"))).first()[0] or 0) <= broadcast_lines:
             lists = F.broadcast(lists)

@@ -68,6 +68,30 @@ def test_jaccard_groups(docs, monkeypatch):
     assert got() == want
 
 
+def test_small_steps_write_few_files(spark, docs, monkeypatch):
+    """Steps over few rows write a file for each core at most, whatever the number of shuffle partitions."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(12)) + "\nline of the site" for i in range(40)]
+    table, files = docs([(i, t, "en", "h") for i, t in enumerate([*texts, texts[0]])]), []
+    for module in (jaccard, decontaminate, line_dedup):
+        def counted(*args, real=module.frozen):
+            out = real(*args)
+            files.append(out.rdd.getNumPartitions())
+            return out
+
+        monkeypatch.setattr(module, "frozen", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert jaccard.keep_one(table).count() == 40  # the copy goes
+        assert decontaminate.drop_leaked(table, spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")).count() == 41
+        assert line_dedup.drop_boilerplate(table, steps=line_dedup.STEPS).count() == 41
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 10 and max(files) <= spark.sparkContext.defaultParallelism
+
+
 def test_jaccard_five_equal_words(docs):
     rows = [(1, "ha ha ha ha ha"), (2, "Ha " * 6), (3, "ha " * 900), (4, "ha ha ha ha"), (5, "a b c d e"), (6, "a b c d e f"), (7, "a b c d e")]
     table = docs(rows)
