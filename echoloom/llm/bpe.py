@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echoloom.llm.common import tidy
+
 BLOCK_CHARS = 16_000_000
 BUCKET_CHARS = 4_000_000
 MEMO_WORDS = 500_000
@@ -260,10 +262,10 @@ def _planned(docs: DataFrame, spec: str, block_chars: int, bucket_chars: int) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(max(8, min(4096, -(-chars // bucket_chars))))
-    parcels = rows.mapInArrow(_parcels(spec, block_chars, buckets), "block long, bucket int, numbers binary, words binary")
+    parcels = rows.mapInArrow(tidy(_parcels(spec, block_chars, buckets)), "block long, bucket int, numbers binary, words binary")
     parcels = parcels.repartition("bucket").sortWithinPartitions("bucket", "block")
-    encoded = parcels.mapInArrow(_encoded(spec, MEMO_WORDS), "block long, numbers binary, counts binary, ids binary")
-    placed = rows.mapInArrow(_positions(spec, block_chars), "block long, doc_id long, places binary")
+    encoded = parcels.mapInArrow(tidy(_encoded(spec, MEMO_WORDS)), "block long, numbers binary, counts binary, ids binary")
+    placed = rows.mapInArrow(tidy(_positions(spec, block_chars)), "block long, doc_id long, places binary")
     both = encoded.unionByName(placed, allowMissingColumns=True)
     return both.repartition("block").sortWithinPartitions("block", F.col("places").isNotNull())
 
@@ -280,7 +282,7 @@ def encode(docs: DataFrame, spec: str, block_chars: int = BLOCK_CHARS, bucket_ch
     def run(batches):
         return _assembled(batches, lambda ids: (ids.astype(np.int64),), fields)
 
-    return _planned(docs, spec, block_chars, bucket_chars).mapInArrow(run, "doc_id long, ids array<long>")
+    return _planned(docs, spec, block_chars, bucket_chars).mapInArrow(tidy(run), "doc_id long, ids array<long>")
 
 
 def decode(encoded: DataFrame, spec: str) -> DataFrame:
@@ -318,4 +320,4 @@ def round_trip(docs: DataFrame, spec: str, block_chars: int = BLOCK_CHARS, bucke
 
         return _assembled(batches, finish, fields)
 
-    return _planned(docs, spec, block_chars, bucket_chars).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _planned(docs, spec, block_chars, bucket_chars).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,23 @@ def frozen(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over the batches of a task; at the end, memory that is free goes back to the system.
+
+    Python workers outlive their tasks, and Arrow and the C library would keep it for the life of the worker.
+    """
+
+    def finished(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU library only
+                trim(0)
+
+    return finished
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

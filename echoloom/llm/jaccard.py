@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.llm.common import frozen, spare
+from echoloom.llm.common import frozen, spare, tidy
 from echoloom.operators.cluster import components
 
 WORDS = 5
@@ -320,7 +320,7 @@ def _search(leaf_pairs: DataFrame, classes: DataFrame, percent: int, full: bool)
     rows = leaf_pairs.join(classes.select("rid", "n", "sig", "grp", "roots"), "rid")
     placed = rows.repartition("root", "leaf_a", "leaf_b").sortWithinPartitions("root", "leaf_a", "leaf_b", "side", "rid")
     cols = ("root", "leaf_a", "leaf_b", "side", "rid", "n", "sig", "grp", "roots")
-    return placed.select(*cols).mapInArrow(_searched(percent, full), "root long, leaf_a int, leaf_b int, a long, b long")
+    return placed.select(*cols).mapInArrow(tidy(_searched(percent, full)), "root long, leaf_a int, leaf_b int, a long, b long")
 
 
 def _exact(width: int, percent: int):
@@ -395,7 +395,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, width: int =
     """
     sketch_type = "doc_id long, digest long, n long, key binary, prefix array<long>, band int, sig binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("digest"))
-    sketched = frozen(rows.mapInArrow(_sketch(width, percent, PREFIX), sketch_type)).withColumn("rid", F.monotonically_increasing_id())
+    sketched = frozen(rows.mapInArrow(tidy(_sketch(width, percent, PREFIX)), sketch_type)).withColumn("rid", F.monotonically_increasing_id())
     full, rows_in = sketched.where("n > 0"), sketched.count()
     heads = frozen(full.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_doc"), F.min_by(F.struct("doc_id", "digest"), "rid").alias("spot")), rows_in)
     classes = full.join(heads.select("rid"), "rid")
@@ -419,12 +419,12 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT, width: int =
     # class's text is found by its digest as well, and no row meets two classes
     wanted = ends.join(heads, "rid").select("rid", F.col("spot.doc_id").alias("__doc"), F.col("spot.digest").alias("__digest"), "key")
     theirs = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("digest") == F.col("__digest"))).select("rid", "key", "text")
-    texts = frozen(theirs.mapInArrow(_keyed(width), "rid long, text string").groupBy("rid").agg(F.first("text").alias("text")), rows_in)
+    texts = frozen(theirs.mapInArrow(tidy(_keyed(width)), "rid long, text string").groupBy("rid").agg(F.first("text").alias("text")), rows_in)
 
     def checked(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
         both = with_a.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_exact(width, percent), "a long, b long")
+        return both.select("a", "b", "ta", "tb").mapInArrow(tidy(_exact(width, percent)), "a long, b long")
 
     links = frozen(checked(tried), rows_in)
     grouped = linked(links)

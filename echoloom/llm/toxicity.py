@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoloom.llm.common import sampled
+from echoloom.llm.common import sampled, tidy
 
 #: Seed terms.
 SEEDS = (
@@ -125,13 +125,16 @@ def score_column(text: Column, lexicon: Lexicon) -> Column:
     A NULL or empty text has no matches and the lowest score of the curve.
     """
 
-    @F.pandas_udf("matches long, weight double, score double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
         for texts in parts:
             rows = np.array([features(t, automaton) for t in texts], dtype=float).reshape(-1, 3)
             yield pd.DataFrame({"matches": rows[:, 0].astype("int64"), "weight": rows[:, 1], "score": curve_score(rows[:, 1], rows[:, 2], lexicon.curve)})
 
+    @F.pandas_udf("matches long, weight double, score double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(judged)(parts)
+
     return scored(text)
 
 
@@ -194,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     known = known.where(sampled(F.col("doc_id"), min(1.0, sample_rows / count)))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")  # bounded by sample_rows
 
-    words = rows.mapInArrow(_word_rows, "word string, toxic int, origin long")
+    words = rows.mapInArrow(tidy(_word_rows), "word string, toxic int, origin long")
     origins = words.groupBy("word", "toxic").agg(F.countDistinct("origin").alias("n"))
     counted = origins.groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"),
@@ -217,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sampl
     weights |= {r["word"]: float(np.clip(r["lift"] / 8.0, 0.0, 1.0)) for r in best}
     lexicon = Lexicon({w: v for w, v in sorted(weights.items()) if v > 0.05})
 
-    found = rows.mapInArrow(_feature_rows(lexicon), "toxic int, total double, density double").toPandas()  # bounded by sample_rows
+    found = rows.mapInArrow(tidy(_feature_rows(lexicon)), "toxic int, total double, density double").toPandas()  # bounded by sample_rows
     x = np.column_stack([np.ones(len(found)), np.log1p(found["total"]), np.log1p(found["density"])])
     w = _logistic(x, found["toxic"].to_numpy(float))
     curve = (float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2])))
