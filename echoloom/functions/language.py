@@ -17,9 +17,11 @@ RESULT = "struct<confidence:double,rank:int,language:string,method:string>"
 def clean_for_detection(col: Column) -> Column:
     """Lower-case words and digits, one space between them, links and e-mails removed."""
     out = text_or_empty(col)
-    out = F.regexp_replace(out, f"https?://{WORD}", "")
-    out = F.regexp_replace(out, unicode_pattern(K.EMAIL), "")
-    return F.lower(F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}_]+", " ")))
+    # a link or an address needs its sign; single blanks, nearly all gaps, are not matched
+    bare = F.regexp_replace(F.regexp_replace(out, f"https?://{WORD}", ""), unicode_pattern(K.EMAIL), "")
+    out = F.when(out.contains("://") | out.contains("@"), bare).otherwise(out)
+    gap = r"[^\p{L}\p{N}_]"
+    return F.lower(F.trim(F.regexp_replace(out, f"{gap}(?:(?<! )|(?={gap})){gap}*", " ")))
 
 
 def _result(confidence: Column, rank: int, language: Column, method: str) -> Column:
@@ -41,11 +43,19 @@ def spaced_words(cleaned: Column) -> Column:
     return F.when(cleaned == "", 0).otherwise(blanks + 1)
 
 
+def _by_first_letter(listed: list[str]) -> str:
+    """Alternatives for whole words; each first letter is tried once."""
+    rest: dict[str, list[str]] = {}
+    for word in listed:
+        rest.setdefault(word[0], []).append(re.escape(word[1:]))
+    return "|".join(f"{re.escape(first)}(?:{'|'.join(ends)})" for first, ends in rest.items())
+
+
 def word_shares(cleaned: Column) -> Column:
     """array<double>: share of common words, one entry per language."""
     padded = F.concat(F.lit(" "), cleaned, F.lit(" "))
     total = F.greatest(spaced_words(cleaned), F.lit(1))
-    patterns = [" (?:" + "|".join(re.escape(w) for w in ws) + ")(?= )" for ws in K.COMMON_WORDS.values()]
+    patterns = [f" (?:{_by_first_letter(ws)})(?= )" for ws in K.COMMON_WORDS.values()]
     return F.array(*[F.regexp_count(padded, F.lit(p)) / total for p in patterns])
 
 

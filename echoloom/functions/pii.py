@@ -83,13 +83,15 @@ def scrub_columns(df, column: str, prefix: str = "pii", drop_steps: bool = True)
     for number, (name, label, patterns, scrub, tag) in enumerate(_STEPS, 1):
         nxt, count = f"__{prefix}_{number}", f"__{prefix}_n_{name}"
         if tag is None:
-            df = df.withColumn(count, F.regexp_count(F.col(text), F.lit(unicode_pattern(patterns[0]))))
+            found = F.regexp_count(F.col(text), F.lit(unicode_pattern(patterns[0])))
+            df = df.withColumn(count, F.when(F.col(text).contains("@"), found).otherwise(0))
             df = df.withColumn(nxt, scrub(F.col(text)))
         else:
             # a mask's own tag cannot match any later pattern, so matches = new tags
             df = df.withColumn(nxt, scrub(F.col(text)))
             tags = lambda c: (F.length(c) - F.length(F.replace(c, F.lit(tag), F.lit("")))) / len(tag)
-            df = df.withColumn(count, (tags(F.col(nxt)) - tags(F.col(text))).cast("int"))
+            more = (tags(F.col(nxt)) - tags(F.col(text))).cast("int")
+            df = df.withColumn(count, F.when(F.col(nxt) == F.col(text), 0).otherwise(more))
         labels.append(F.when(F.col(count) > 0, F.concat(F.col(count).cast("string"), F.lit(" " + label))))
         steps += [nxt, count]
         text = nxt

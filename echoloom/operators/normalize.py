@@ -40,7 +40,7 @@ def normalize_documents(
         F.col("id").alias("raw_feedback_id"),
         F.col("source_type"),
         F.col("__t").alias("title"),
-        text.truncate_words(F.col("__b"), max_words).alias("body"),
+        text.truncate_words(F.col("__b"), max_words, F.col("__words")).alias("body"),
         F.col("author"),
         F.col("timestamp"),
         F.col("url"),

@@ -158,3 +158,17 @@ def test_normalize_drops_short_and_cuts_long(spark):
     schema = "id int, source_type string, source_id string, url string, title string, content string, author string, author_url string, timestamp timestamp_ntz"
     out = normalize.normalize_documents(spark.createDataFrame(rows, schema), max_words=5).collect()
     assert [(r["raw_feedback_id"], r["title"], r["body"], r["word_count"]) for r in out] == [(2, "", "one two three four five", 5)]
+
+
+def test_normalize_counts_words_once_and_skips_single_blanks(spark):
+    """The words of a body are split once to count and once to cut; gaps of one blank are left alone, others become one."""
+    texts = ["".join("ab \n\t\x85　-"[(i * 7919 + k * k * 31 + k * i) % 8] for k in range(i % 23)) for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    out = df.select("t", text.collapse_spaces(F.col("t")).alias("c"), language.clean_for_detection(F.col("t")).alias("d"))
+    for r in text.clean_html_columns(out, "t", "h").collect():
+        assert r["c"] == re.sub(r"\s+", " ", r["t"]) and r["h"] == r["c"].strip()
+        assert r["d"] == re.sub(r"[\W]+", " ", r["t"]).strip().lower()
+    raw = df.selectExpr("id", "'s' source_type", "t title", "t content", "'' author", "'' url", "timestamp_ntz'2024-01-01' timestamp")
+    plan = normalize.normalize_documents(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2  # three before
+    assert f", {text.SPACE}+,  , 1)" not in plan  # every gap was replaced before
