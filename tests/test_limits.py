@@ -245,3 +245,27 @@ def test_stream_in_pieces_and_without_times(spark, tmp_path, monkeypatch, rule):
     got = {r["id"]: r["admitted"] for r in run_available(admit_stream(stream, "key", "ts", "id", rule)).collect()}
     want = {r["id"]: r["admitted"] for r in L.admit(events, "key", "ts", "id", rule).collect()}
     assert got == want and len(got) == 100
+
+
+@pytest.mark.parametrize("ids", [list(range(300)), [f"id {i} \u00e4" for i in range(300)]], ids=["numbers", "texts"])
+def test_waiting_events_are_held_as_bytes_in_large_elements(ids, monkeypatch):
+    """30 frames of one call make few elements of the waiting list, and a value of one is not a list of events."""
+    import types
+
+    import pandas as pd
+
+    from echoloom.streaming import admission
+
+    monkeypatch.setattr(admission, "PIECE", 100)
+    rng, rule = np.random.default_rng(6), L.Cooldown(300)
+    times = rng.integers(0, 30_000, 300) * L.SECOND
+    handle, judge = _Handle(), admission._Ordered(rule, "bigint")
+    judge.init(handle)
+    at = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    frames = [pd.DataFrame({"time": times[lo : lo + 10], "id": ids[lo : lo + 10]}) for lo in range(0, 300, 10)]
+    assert not list(judge.handleInputRows(("k",), iter(frames), at(0)))
+    assert len(handle.rows) == 3 and all(isinstance(v, bytes) for row in handle.rows for v in row)
+    got = pd.concat([f for ms in (10_000_000, 30_000_000) for f in judge.handleExpiredTimer(("k",), at(ms), None)])
+    order = sorted(range(300), key=lambda i: (times[i], ids[i]))
+    flags, _ = rule.step([], times[order])
+    assert got["id"].tolist() == [ids[i] for i in order] and got["admitted"].tolist() == flags.tolist()
